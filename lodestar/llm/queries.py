@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, counts, linededup, quality, secrets
+from lodestar.llm import bpe, counts, linededup, markup, quality, secrets
 from lodestar.llm.common import table
 
 #: Files of public tokenizers, by the package that holds them.
@@ -55,3 +55,9 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda k: F.size(F.filter("secret_spans", lambda s: s["kind"] == k)).cast("long")
     base = secrets.spans_text(F.filter("secret_spans", lambda s: s["kind"] < len(secrets.BASE)))
     return df.select("doc_id", *[count(k).alias(f"n_{name}") for k, name in enumerate(secrets.BASE)], F.sha2(base, 256).alias("base_sha256"), secrets.spans_text(F.col("secret_spans")).alias("spans"))
+
+
+@query
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = markup.extract_text(table(spark, sf_dir, "pages"))
+    return df.withColumns({"n_chars": F.length("text").cast("long"), "n_lines": F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n"))).cast("long")})
