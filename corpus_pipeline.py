@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import linededup, quality, secrets
+from lodestar.llm import linededup, neardup, packing, quality, secrets
+from lodestar.llm.queries import WORD_BPE, tokenizer_file
 from lodestar.plans.scratch import materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -27,12 +28,28 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _recount(linededup.dedup_lines(docs).select(docs.columns))
 
 
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the smallest id stays."""
+    return neardup.drop_near_duplicates(docs)
+
+
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets give way to a mark."""
     return _recount(secrets.redact_secrets(docs))
 
 
-STAGES: list[tuple[str, Stage]] = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("secret_scans", secret_scans)]
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in sequences of 2048 tokens; a row for each piece of a document, with its ids."""
+    return packing.pack(docs, tokenizer_file(WORD_BPE))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("minhash_near_dedup", minhash_near_dedup),
+    ("secret_scans", secret_scans),
+    ("packing", packed),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
