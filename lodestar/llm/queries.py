@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, counts, linededup, markup, neardup, packing, quality, secrets
+from lodestar.llm import bpe, counts, linededup, markup, neardup, packing, quality, secrets, suffixes
 from lodestar.llm.common import table
 
 #: Files of public tokenizers, by the package that holds them.
@@ -54,6 +54,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file(WORD_BPE), digests=True)
 
 
+@query
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"), digests=True)
+
+
 @query
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_file(WORD_BPE), digests=True)
