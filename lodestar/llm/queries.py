@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, counts, linededup, markup, neardup, packing, quality, secrets, suffixes
+from lodestar.llm import bpe, chroma, counts, linededup, markup, neardup, packing, quality, secrets, suffixes
 from lodestar.llm.common import table
 
 #: Files of public tokenizers, by the package that holds them.
@@ -34,6 +34,12 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+@query
+def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables have no recordings; a text's bytes are taken for those of one, 8-bit samples of one channel."""
+    return chroma.align(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 @query
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=2)
