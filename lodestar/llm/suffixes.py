@@ -133,7 +133,8 @@ def _groups_least(key: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return out
 
 
-_squeeze = lambda a: pa.compress(np.ascontiguousarray(a).tobytes(), codec="zstd", asbytes=True)
+_ZSTD = pa.Codec("zstd", compression_level=6)
+_squeeze = lambda a: _ZSTD.compress(np.ascontiguousarray(a).tobytes(), asbytes=True)
 
 
 def _expand(b: bytes, size: int, kind: str) -> np.ndarray:
@@ -170,17 +171,17 @@ class _Group:
     def contexts(self, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of the anchors flagged 1: their indexes, each one's distinct context, the contexts' bytes, least ids and buckets.
 
-        A context is the text around an anchor, zeros beyond the document, behind two bytes for the range of starts.
+        A context is the text around an anchor, behind two bytes for the range of starts; zeros where no string reaches.
         """
         at = np.flatnonzero(flags == 1)
         if not len(at):
             return at, at, np.zeros((0, 2 + REACH + LENGTH), np.uint8), at, at
-        place, begin = self.place[at], np.concatenate([[0], self.ends])[self.owner[at]]
+        place, begin, end = self.place[at], self.first[at], self.last[at] + LENGTH
         rows = np.zeros((len(at), 2 + REACH + LENGTH), np.uint8)
         rows[:, 0], rows[:, 1] = place - self.last[at], place - self.first[at]
         for j in range(REACH + LENGTH):
             spot = place + (j - REACH)
-            rows[:, 2 + j] = np.where((spot >= begin) & (spot < self.ends[self.owner[at]]), self.data[np.clip(spot, 0, len(self.data) - 1)], 0)
+            rows[:, 2 + j] = np.where((spot >= begin) & (spot < end), self.data[np.clip(spot, 0, len(self.data) - 1)], 0)
         packed = np.concatenate([self.bucket[self.distinct[at]].astype(">u4").view(np.uint8).reshape(-1, 4), rows], axis=1)
         digest = _row_hashes(packed)
         _, pick, row = np.unique(digest, return_index=True, return_inverse=True)
@@ -257,7 +258,7 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def group() -> pa.RecordBatch:
         nonlocal number, ids, nulls, texts, size
-        row = [[number], [ids], [nulls], [[len(t) for t in texts]], [size], [pa.compress(b"".join(texts), codec="zstd", asbytes=True)]]
+        row = [[number], [ids], [nulls], [[len(t) for t in texts]], [size], [_ZSTD.compress(b"".join(texts), asbytes=True)]]
         number, ids, nulls, texts, size = number + 1, [], [], [], 0
         types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.int64(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, types, strict=True)], names=["g", "ids", "nulls", "sizes", "size", "blob"])
