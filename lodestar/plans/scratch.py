@@ -28,9 +28,22 @@ def scratch_root(spark: SparkSession) -> str:
     return f"file://{root}"
 
 
-def materialize(df: DataFrame, label: str = "table") -> DataFrame:
-    """Write df once to the shared folder as Parquet and return the table read back, with its lineage cut."""
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def materialize(df: DataFrame, label: str = "table", batch_rows: int | None = None) -> DataFrame:
+    """Write df once to the shared folder as Parquet and return the table read back, with its lineage cut.
+
+    With batch_rows, Python workers get at most so many rows at once while the table is written.
+    """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH)
+    if batch_rows:
+        spark.conf.set(_BATCH, batch_rows)
+    try:
+        df.write.parquet(path)
+    finally:
+        if batch_rows:
+            spark.conf.set(_BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
