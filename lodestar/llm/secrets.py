@@ -89,8 +89,8 @@ def find_secrets(docs: DataFrame, text_col: str = "text", spans_col: str = "secr
         if k == 0:
             df = df.withColumn(name, F.filter(name, lambda m: F.length(F.regexp_extract(m["s"], ASSIGN, 2)) >= 8))
     span = lambda a, b, k: F.struct(a.cast("int").alias("start"), b.cast("int").alias("stop"), F.lit(k).alias("kind"))
-    base = [F.transform(c, lambda m, k=k: span(m["start"], m["start"] + F.length(m["s"]), k)) for k, c in enumerate(("__a", "__k", "__x"))]
-    df = df.withColumn("__b", F.concat(*base))
+    base = lambda c, k: F.transform(c, lambda m: span(m["start"], m["start"] + F.length(m["s"]), k))
+    df = df.withColumn("__b", F.concat(base("__a", 0), base("__k", 1), base("__x", 2)))
     open_ = F.filter("__c", lambda m: ~m["s"].rlike(ALLOWED))
     df = df.withColumn("__c", F.when(F.size("__c") > 0, open_).otherwise(F.col("__c")))
     added = F.flatten(F.transform("__c", lambda m: F.transform(_windows(m["s"], F.when(m["s"].rlike("^[0-9a-fA-F]+$"), MOST["hex"]).otherwise(MOST["other"])), lambda w: span(m["start"] + w["a"], m["start"] + w["b"], 3))))
