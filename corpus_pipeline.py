@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import linededup, neardup, packing, quality, secrets
+from lodestar.llm.common import small_batches
 from lodestar.llm.queries import WORD_BPE, tokenizer_file
 from lodestar.plans.scratch import materialize
 
@@ -40,6 +41,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in sequences of 2048 tokens; a row for each piece of a document, with its ids."""
+    small_batches(spark)
     return packing.pack(docs, tokenizer_file(WORD_BPE))
 
 

@@ -14,7 +14,20 @@ from pyspark.sql import functions as F
 SPACES = "\t\n\x0b\x0c\r "
 
 
+#: Rows that a Python worker gets at once; texts may be long, and Spark's default is ten times as many.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's rows a batch to BATCH_ROWS, where it has more; operators themselves leave it as it is."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for a registered query."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

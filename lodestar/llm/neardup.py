@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.llm.common import BATCH_ROWS
 from lodestar.llm.components import components
 from lodestar.llm.shingles import mix, numbers, shingle_sets
 from lodestar.plans.scratch import materialize
@@ -36,8 +37,6 @@ PERCENT = 80
 MEMBERS = 256
 #: Bytes of text that are hashed at once, so that the arrays stay in the cache.
 CHUNK = 1 << 19
-#: Texts that a Python worker gets at once.
-BATCH_ROWS = 1000
 
 _FACTOR = (numbers(PERMUTATIONS, 11) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _SHIFT = (numbers(PERMUTATIONS, 13) >> np.uint64(32)).astype(np.uint32)

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.llm.common import BATCH_ROWS
 from lodestar.llm.wordids import word_ids
 from lodestar.plans.scratch import materialize
 
@@ -161,7 +162,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     key, extra = F.col(f"`{id_col}`"), F.col(f"`{extra_col}`") if extra_col else F.lit(None).cast("string")
     kind, extra_kind = docs.schema[id_col].dataType.simpleString(), docs.schema[extra_col].dataType.simpleString() if extra_col else "string"
     rows = docs.select(key.alias("k"), F.col(f"`{text_col}`").cast("binary").alias("t"), extra.alias("extra"))
-    tokens = materialize(rows.mapInArrow(lambda b: _tokenized(path, end, b), f"k {kind}, n long, ids binary, seen array<long>, extra {extra_kind}"), "tokens")
+    tokens = materialize(rows.mapInArrow(lambda b: _tokenized(path, end, b), f"k {kind}, n long, ids binary, seen array<long>, extra {extra_kind}"), "tokens", BATCH_ROWS)
     n, total = tokens.where("n >= 0").agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     words = word_ids(path)
     counts = np.zeros(words.library.get_vocab_size() + 1, np.int64)  # one number a token id: bounded by the vocabulary
