@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import linededup, neardup, packing, quality, secrets
-from lodestar.llm.common import small_batches
+from lodestar.llm.common import SPACES, small_batches
 from lodestar.llm.queries import WORD_BPE, tokenizer_file
 from lodestar.plans.scratch import materialize
 
@@ -25,8 +25,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of windows that an earlier place has go."""
-    return _recount(linededup.dedup_lines(docs).select(docs.columns))
+    """Lines of windows that an earlier place has go, and documents of which no word is left then."""
+    names = {c: f"__{k}" for k, c in enumerate(docs.columns) if c.lower() in ("n_lines", "n_removed")}
+    out = linededup.dedup_lines(docs.withColumnsRenamed(names))
+    out = out.where((F.col("n_removed") == 0) | (F.translate("text", SPACES, "") != "")).drop("n_lines", "n_removed")
+    return _recount(out.withColumnsRenamed({v: k for k, v in names.items()}).select(docs.columns))
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
