@@ -1,6 +1,6 @@
 """Agree sets: in which columns pairs of rows agree. Each is a mask of columns, as an array of numbers.
 
-`all_pairs` is exact; the others look at some pairs only, as the reference's sampling strategies do, and their results
+`all_pairs` is exact; the others look at some pairs only, in one order or another, and their results
 are never more than hints. Input is a table of codes (c0, c1, ...); a null code agrees with nothing.
 """
 
