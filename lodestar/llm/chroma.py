@@ -152,7 +152,7 @@ def _errors(x: Column, y: Column, offset: Column) -> tuple[Column, Column]:
     """Steps in which x and y overlap if x is ahead by offset, and bits in which they differ there."""
     begin = F.greatest(F.lit(0), offset)
     steps = F.least(F.size(x), F.size(y) + offset) - begin
-    wrong = F.zip_with(F.slice(x, begin + 1, steps), F.slice(y, begin - offset + 1, steps), lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+    wrong = F.zip_with(F.slice(x, begin + 1, steps), F.slice(y, begin - offset + 1, steps), lambda a, b: F.bit_count(a.bitwiseXOR(b).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))))
     return steps.cast("long"), F.aggregate(wrong, F.lit(0), lambda a, b: a + b).cast("long")
 
 
