@@ -167,7 +167,8 @@ class Page:
 
     def end(self, tag: str) -> None:
         if self.counts.get(tag):
-            self.close_upto(frozenset({tag}), SCOPE - {tag} if tag not in ("table", "tr", "tbody", "thead", "tfoot") else frozenset({"table"}) - {tag})
+            bound = frozenset({"table"}) if tag in ("table", "tr", "tbody", "thead", "tfoot") else SCOPE if tag in BLOCK else SCOPE | BLOCK  # an inline end tag ends no block
+            self.close_upto(frozenset({tag}), bound - {tag})
         elif tag == "p":
             self.writers[-1].block(not self.stack[-1].hidden)
         elif tag == "br":
