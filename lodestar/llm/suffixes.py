@@ -280,11 +280,11 @@ def _members(batch: pa.RecordBatch, splitters: np.ndarray) -> Iterator[tuple[int
     for i in range(batch.num_rows):
         row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
         ids, sizes, nulls = np.array(row["ids"], np.int64), np.array(row["sizes"], np.int64), np.array(row["nulls"], bool)
+        blob = row["blob"]
         if nulls.any():
-            data = _expand(row["blob"], int(sizes.sum()), "u1")
-            keep = np.repeat(~nulls, sizes)
-            row["blob"], sizes = _squeeze(data[keep]), np.where(nulls, 0, sizes)
-        yield row["g"], _Group(ids, sizes, row["blob"], splitters), row
+            blob = _squeeze(_expand(blob, int(sizes.sum()), "u1")[np.repeat(~nulls, sizes)])
+            sizes = np.where(nulls, 0, sizes)
+        yield row["g"], _Group(ids, sizes, blob, splitters), row
 
 
 def _keys(splitters: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -398,7 +398,7 @@ def _cut(splitters: np.ndarray, n_hot: int, digests: bool, batches: Iterator[pa.
             flags = group.flags({f["bucket"]: f["data"] for f in row["flags"] or ()})
             masks = {m["bucket"]: m["data"] for m in row["masks"] or ()}
             gone = group.covered(flags, {b: d for b, d in masks.items() if b >= 0}, {-1 - b: d for b, d in masks.items() if b < 0}, n_hot)
-            whole = _expand(row["blob"], int(sum(row["sizes"])), "u1") if any(row["nulls"]) and not len(group.data) == sum(row["sizes"]) else group.data
+            whole = _expand(row["blob"], int(sum(row["sizes"])), "u1") if any(row["nulls"]) else group.data
             out: list[list] = [[] for _ in range(5)]
             at = base = 0
             for k, null, size in zip(row["ids"], row["nulls"], row["sizes"], strict=True):
