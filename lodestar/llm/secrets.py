@@ -29,7 +29,7 @@ WINDOW = 20
 #: Bits a character from which a window of that class is taken for a secret. Random text has about 3.1 and 4.1.
 BITS = {"hex": 2.9, "other": 3.8}
 #: Candidates that are no secrets: digits, UUIDs, words with separators, placeholders, runs of the alphabet.
-ALLOWED = "^[0-9]+$|^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$|^[A-Za-z]*([-_/=+]+[A-Za-z]*)*$|[Ee][Xx][Aa][Mm][Pp][Ll][Ee]|[Xx]{6}|[Pp][Ll][Aa][Cc][Ee][Hh][Oo][Ll][Dd][Ee][Rr]|abcdefgh|ABCDEFGH|01234567"
+ALLOWED = "^[0-9]+$|^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$|^[A-Za-z]*([-_/=+]+[A-Za-z]+)*[-_/=+]*$|[Ee][Xx][Aa][Mm][Pp][Ll][Ee]|[Xx]{6}|[Pp][Ll][Aa][Cc][Ee][Hh][Oo][Ll][Dd][Ee][Rr]|abcdefgh|ABCDEFGH|01234567"
 #: c log2 c in millionths, so that sums are exact in any order; a window's entropy is log2(w) - sum / w.
 CLOGC = [round(c * math.log2(c) * 1e6) if c else 0 for c in range(WINDOW + 2)]
 MOST = {k: CLOGC[WINDOW] - round(b * WINDOW * 1e6) for k, b in BITS.items()}
@@ -37,23 +37,26 @@ MOST = {k: CLOGC[WINDOW] - round(b * WINDOW * 1e6) for k, b in BITS.items()}
 _NO_SPANS = "array<struct<start:int,stop:int,kind:int>>"
 
 
-def _starts(lens: Column) -> Column:
-    """Sums of all that comes before each element, by blocks of 512, so that long lists cost little over linear."""
-    block = 512
-    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
-    sums = F.transform(F.sequence(F.lit(0), F.floor((F.size(lens) - 1) / block).cast("int")), lambda b: total(F.slice(lens, b * block + 1, F.lit(block))))
-    return F.transform(lens, lambda _, i: total(F.slice(sums, F.lit(1), F.floor(i / block).cast("int"))) + total(F.slice(lens, F.floor(i / block).cast("int") * block + 1, i % block)))
-
-
 def _matches(df: DataFrame, text: str, pattern: str, out: str) -> DataFrame:
-    """df with `out`: start and string of each leftmost match that overlaps no other."""
-    found, gaps, starts = f"{out}m", f"{out}g", f"{out}s"
+    """df with `out`: start and string of each leftmost match that overlaps no other.
+
+    A match starts after all matches and gaps before it. Sums run by blocks of 512, so that many matches cost little
+    over linear. A helper that a lambda looks into is always used twice, as Catalyst would else compute it anew there
+    for each element.
+    """
+    found, steps, blocks, sums = f"{out}m", f"{out}g", f"{out}b", f"{out}s"
+    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
+    some = F.size(found) > 0
     df = df.withColumn(found, F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)))
-    df = df.withColumn(gaps, F.when(F.size(found) > 0, F.split(F.col(text), pattern, -1)))
-    df = df.withColumn(gaps, F.transform(found, lambda m, i: F.length(F.get(gaps, i)) + F.coalesce(F.length(F.get(found, i - 1)), F.lit(0))))
-    df = df.withColumn(starts, F.when(F.size(found) > 0, _starts(F.col(gaps))))
-    at = F.transform(found, lambda m, i: F.struct((F.get(starts, i) + F.get(gaps, i)).alias("start"), m.alias("s")))
-    return df.withColumn(out, F.when(F.size(found) > 0, at).otherwise(F.array().cast("array<struct<start:int,s:string>>"))).drop(found, gaps, starts)
+    gaps = F.slice(F.transform(F.split(F.col(text), pattern, -1), F.length), F.lit(1), F.size(found))
+    before = F.slice(F.concat(F.array(F.lit(0)), F.transform(found, F.length)), F.lit(1), F.size(found))
+    df = df.withColumn(steps, F.when(some, F.zip_with(gaps, before, lambda x, y: x + y)))
+    df = df.withColumn(blocks, F.when(some, F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / 512).cast("int")), lambda b: F.slice(F.col(steps), b * 512 + 1, F.lit(512)))))
+    df = df.withColumn(sums, F.transform(blocks, total))
+    offsets = F.transform(sums, lambda _, i: total(F.slice(F.col(sums), F.lit(1), i)))
+    starts = F.flatten(F.zip_with(blocks, offsets, lambda block, offset: F.transform(block, lambda _, j: offset + total(F.slice(block, F.lit(1), j + 1)))))
+    at = F.zip_with(starts, found, lambda a, m: F.struct(a.alias("start"), m.alias("s")))
+    return df.withColumn(out, F.when(some, at).otherwise(F.array().cast("array<struct<start:int,s:string>>"))).drop(found, steps, blocks, sums)
 
 
 def _windows(s: Column, most: Column) -> Column:
