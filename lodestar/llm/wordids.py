@@ -4,20 +4,17 @@ from __future__ import annotations
 
 import functools
 import json
-import re
 
 import numpy as np
 import regex
 
-from lodestar.llm.bpe import WordTokenizer, byte_letters
+from lodestar.llm.bpe import WordTokenizer, byte_letters, small_words
 
 #: Words and pieces kept in a worker's table; a full table is emptied, which costs time but changes nothing.
 TABLE_WORDS = 600_000
 #: Longer pieces take one round for each merge, so they go one by one through the library.
 LONG = 100
 _NONE = np.int32(1 << 30)
-#: A full stop or comma between a letter and white space is a piece by itself.
-_STOP, _COMMA = (re.compile(rb"%b(?=[ \n])(?<=[a-z]%b)" % (c, c)) for c in (rb"\.", b","))
 _LETTERS = regex.compile("([A-Za-zªµºÀ-ÖØ-öø-įı-ſ]+)([!-/:-@\\[-`{-~]?)")
 
 
@@ -135,16 +132,9 @@ class WordIds:
             if w not in table:
                 table[w] = b"".join([table[p] for p in ps])
 
-    @staticmethod
-    def words(text: bytes) -> list[bytes]:
-        """A text's words. Small letters come first where no mark, whose composition may hang on the case, and no special token can be in it."""
-        if b"\xcc" not in text and b"\xcd" not in text and b"<|" not in text:
-            text = _COMMA.sub(b" ,", _STOP.sub(b" .", text.lower()))
-        return text.split()
-
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of whole texts, which white space of ASCII divides into words."""
-        split = list(map(self.words, texts))
+        split = list(map(small_words, texts))
         self.add(set().union(*split))
         find = self.table.__getitem__
         return [b"".join(map(find, ws)) for ws in split]
