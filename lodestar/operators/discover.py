@@ -127,7 +127,7 @@ def _by_levels(codes: DataFrame, n: int, rows: int, config: Config) -> Cover:
     while level <= min(cover.depth, n) and (config.limit is None or level <= config.limit):
         open_ = {x: sum(1 << a for a in bits(rights) if (x, a) not in done) for x, rights in cover.level(level).items()}
         open_ = {x: rights for x, rights in open_.items() if rights}
-        bad = refuted(codes, open_, rows) if open_ else {}
+        bad = refuted(codes, open_, rows, not config.null_equals_null) if open_ else {}
         done |= {(x, a) for x, rights in open_.items() for a in bits(rights & ~bad.get(x, 0))}
         wrong = [(x, a) for x, rights in bad.items() for a in bits(rights)]
         log.info("level %d: %d candidates, %d refuted", level, sum(r.bit_count() for r in open_.values()), len(wrong))

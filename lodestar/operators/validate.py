@@ -14,12 +14,13 @@ from lodestar.operators.cover import bits
 BATCH = 32
 
 
-def refuted(codes: DataFrame, candidates: dict[int, int], n_rows: int) -> dict[int, int]:
+def refuted(codes: DataFrame, candidates: dict[int, int], n_rows: int, nulls: bool = True) -> dict[int, int]:
     """Of candidates (mask of the left side -> mask of right sides): the right sides that don't hold.
 
     One job for each BATCH of left sides: a row is sent once for each of them, as a key of two hashes, is reduced to
     the least and largest code of each right side before the shuffle, and only one row for each left side comes back.
     Rows with a null code on the left agree with no other. A null code on the right differs from any other row's.
+    Without null codes (nulls=False) none is looked for.
     """
     out: dict[int, int] = {}
     if n_rows <= 1:
@@ -31,19 +32,24 @@ def refuted(codes: DataFrame, candidates: dict[int, int], n_rows: int) -> dict[i
         if not rights:
             continue
         sides = []
-        for x in batch:
+        for j, x in enumerate(batch):
             columns = list(bits(x))
+            k1, k2 = key(columns)
+            side = F.struct(F.lit(j).alias("x"), k1.alias("k1"), k2.alias("k2"))
             whole = F.lit(True)
             for k in columns:
                 whole = whole & F.col(f"c{k}").isNotNull()
-            k1, k2 = key(columns)
-            sides.append(F.when(whole, F.struct(F.lit(x).cast("string").alias("x"), k1.alias("k1"), k2.alias("k2"))))
+            sides.append(F.when(whole, side) if nulls else side)
         rows = codes.select(F.explode(F.array(*sides)).alias("s"), *[f"c{a}" for a in rights]).where("s is not null")
-        aggs = [F.count(F.lit(1)).alias("n")] + [f(f"c{a}").alias(f"{v}{a}") for a in rights for f, v in ((F.min, "p"), (F.max, "q"), (F.count, "n"))]
+        aggs = [f(f"c{a}").alias(f"{v}{a}") for a in rights for f, v in ((F.min, "p"), (F.max, "q"))]
+        if nulls:
+            aggs += [F.count(F.lit(1)).alias("n"), *[F.count(f"c{a}").alias(f"n{a}") for a in rights]]
         groups = rows.groupBy("s.x", "s.k1", "s.k2").agg(*aggs)
-        clash = [F.coalesce(F.max((F.col(f"p{a}") != F.col(f"q{a}")) | ((F.col(f"n{a}") < F.col("n")) & (F.col("n") > 1))), F.lit(False)).alias(f"b{a}") for a in rights]
+        alone = lambda a: (F.col(f"n{a}") < F.col("n")) & (F.col("n") > 1) if nulls else F.lit(False)
+        clash = [F.coalesce(F.max((F.col(f"p{a}") != F.col(f"q{a}")) | alone(a)), F.lit(False)).alias(f"b{a}") for a in rights]
         for row in groups.groupBy("x").agg(*clash).collect():  # one row for each left side
-            out[int(row["x"])] = sum(1 << a for a in rights if row[f"b{a}"]) & candidates[int(row["x"])]
+            x = batch[row["x"]]
+            out[x] = sum(1 << a for a in rights if row[f"b{a}"]) & candidates[x]
     return {x: out.get(x, 0) for x in lists}
 
 
@@ -79,7 +85,7 @@ def validate(df: DataFrame, candidates: Iterable[tuple[Sequence[str], str]], nul
     for x, a in wanted:
         m = sum(1 << names.index(c) for c in x)
         masks[m] = masks.get(m, 0) | 1 << names.index(a)
-    bad = refuted(codes, masks, codes.count())
+    bad = refuted(codes, masks, codes.count(), not null_equals_null)
     rows = [(x, a, not bad[sum(1 << names.index(c) for c in x)] >> names.index(a) & 1) for x, a in wanted]
     return spark.createDataFrame(rows, "lhs array<string>, rhs string, holds boolean")
 
