@@ -5,9 +5,10 @@ that image, found from its integral image; each value is quantized to two bits o
 gives one packed integer of 32 bits. Images are kept in whole numbers, so a recording has the same integers whatever
 is computed beside it.
 
-Recordings with the same integers are one class. Each integer points to the first place that has it, by id and time; a
-recording's integers vote for a recording and an offset, and the peak of that histogram is confirmed by the bit errors
-over the overlap. So the rows of an alignment follow the integers, however many recordings share them.
+Recordings with the same integers are one class. Every place of an integer votes for every place of it in a class of a
+smaller id and the offset between them; of the offsets whose bit errors over the overlap confirm them, the one with the
+most votes is the alignment. Integers that many places share are dealt in parts. So the rows of votes follow the pairs
+of places that share an integer, which grow with the square of how often it comes.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ WIDTH = max(f[3] for f in FILTERS)
 GRAY = np.array([0, 1, 3, 2], np.uint32)
 #: An alignment has so many votes, and at most so many wrong bits of 100.
 MIN_VOTES, MAX_ERRORS = 2, 35
+#: Places of one integer that vote in one task, each for all places of it.
+HOT = 1000
 
 _HZ = np.arange(FRAME // 2 + 1) * RATE / FRAME
 _BINS = np.flatnonzero((_HZ >= LOWEST) & (_HZ <= HIGHEST))
@@ -160,10 +163,11 @@ def align(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
     """Per row: the id, `n_frames`, `n_codes`, `codes_sha256`, `class_id`, and `aligned_to`, `offset`, `votes`, `overlap`, `bit_errors`.
 
     `class_id` is the smallest id with the same integers, null if there are none or the row has no id. Of a class, each
-    integer's first place in a run of equal ones votes for the first place of any recording that has it, if that is
-    another one. The peak has the most votes, then the smallest id and offset; it stands if it has MIN_VOTES and at
-    most MAX_ERRORS of 100 bits differ over the overlap, else the five columns are null. Rows that repeat an id share
-    their class's alignment; an empty table gives no rows.
+    integer's first place in a run of equal ones votes for each such place in the classes of smaller ids. An offset
+    stands if it has MIN_VOTES and at most MAX_ERRORS of 100 bits differ over the overlap; the alignment is the one with
+    the most votes, then the smallest id and offset, and null if none stands. `votes` counts those of its votes that are
+    for the first place of their integer in the table, so it may be 0. Rows that repeat an id share their class's
+    alignment; an empty table gives no rows.
     """
     found = materialize(fingerprints(media, id_col, media_col), "codes")
     found = found.select("*", F.xxhash64("codes").alias("f1"), F.xxhash64(F.lit(1), "codes").alias("f2"))
@@ -172,13 +176,25 @@ def align(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
     reps = named.join(classes.withColumnRenamed("rep", "id"), ["f1", "f2", "id"]).select("id", "codes").dropDuplicates(["id"])
     steps = F.transform("codes", lambda v, i: F.struct(v.alias("v"), i.alias("at"), F.get("codes", i - 1).alias("last")))
     places = reps.select("id", F.explode(steps).alias("s")).where("s.last is null or s.last <> s.v").select("id", "s.v", "s.at")
-    first = places.groupBy("v").agg(F.min(F.struct("id", "at")).alias("f"), F.max("id").alias("last")).where("f.id <> last")
-    votes = places.join(first, "v").where("id <> f.id").groupBy("id", F.col("f.id").alias("ref"), (F.col("at") - F.col("f.at")).alias("offset")).agg(F.count(F.lit(1)).alias("n"))
-    best = votes.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("m"), "ref", "offset")).alias("b")).where(-F.col("b.m") >= MIN_VOTES)
-    peaks = best.select("id", F.col("b.ref").alias("ref"), F.col("b.offset").alias("offset"), (-F.col("b.m")).alias("votes")).join(reps, "id")
-    peaks = peaks.join(reps.select(F.col("id").alias("ref"), F.col("codes").alias("other")), "ref")
-    overlap, errors = _errors(F.col("codes"), F.col("other"), F.col("offset"))
-    peaks = peaks.select(F.col("id").alias("rep"), "ref", F.col("offset").cast("long").alias("offset"), "votes", overlap.alias("overlap"), errors.alias("errors")).where(100 * F.col("errors") <= MAX_ERRORS * 32 * F.col("overlap"))
+    several = places.groupBy("v").agg(F.min(F.struct("id", "at")).alias("f"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where("f.id <> last")
+    several = several.select("v", "f", F.ceil(F.col("n") / HOT).cast("int").alias("parts"))
+    shared = materialize(places.join(several, "v").select("v", "id", "at", (F.struct("id", "at") == F.col("f")).cast("int").alias("lead"), "parts"), "shared")
+    voters = shared.select("v", F.pmod(F.xxhash64("id", "at"), F.col("parts")).cast("int").alias("part"), "id", "at")
+    homes = shared.select("v", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("id").alias("ref"), F.col("at").alias("there"), "lead")
+    votes = voters.join(homes, ["v", "part"]).where("ref < id").groupBy("id", "ref", (F.col("at") - F.col("there")).alias("offset")).agg(F.count(F.lit(1)).alias("n"), F.sum("lead").alias("votes"))
+    votes = materialize(votes.where(F.col("n") >= MIN_VOTES), "votes")
+    rank = F.struct((-F.col("n")).alias("m"), "ref", "offset", "votes")
+
+    def standing(votes: DataFrame) -> DataFrame:
+        both = votes.join(reps, "id").join(reps.select(F.col("id").alias("ref"), F.col("codes").alias("other")), "ref")
+        overlap, errors = _errors(F.col("codes"), F.col("other"), F.col("offset"))
+        return both.select("id", "ref", "offset", "n", "votes", overlap.alias("overlap"), errors.alias("errors")).where(100 * F.col("errors") <= MAX_ERRORS * 32 * F.col("overlap"))
+
+    top = votes.groupBy("id").agg(F.min(rank).alias("b")).select("id", "b.ref", "b.offset", (-F.col("b.m")).alias("n"), "b.votes")
+    peaks = materialize(standing(top), "peaks")
+    others = standing(votes.join(peaks, "id", "left_anti"))  # the next ones, where the most votes don't stand
+    others = others.groupBy("id").agg(F.min_by(F.struct("ref", "offset", "n", "votes", "overlap", "errors"), rank).alias("b")).select("id", "b.*")
+    peaks = peaks.unionByName(others).select(F.col("id").alias("rep"), "ref", F.col("offset").cast("long").alias("offset"), "votes", "overlap", "errors")
     out = found.select("id", "frames", F.size("codes").cast("long").alias("n"), F.sha2(F.array_join("codes", " "), 256).alias("sha"), "f1", "f2").join(classes, ["f1", "f2"], "left").join(peaks, "rep", "left")
     own = lambda c: F.when(F.col("id").isNotNull(), F.col(c))
     return out.select(F.col("id").alias(id_col), F.col("frames").alias("n_frames"), F.col("n").alias("n_codes"), F.col("sha").alias("codes_sha256"), own("rep").alias("class_id"), own("ref").alias("aligned_to"), own("offset").alias("offset"), own("votes").alias("votes"), own("overlap").alias("overlap"), own("errors").alias("bit_errors"))

@@ -143,3 +143,26 @@ def test_alignment(spark):
     for i, _, n, _, *rest in got:
         assert tuple(rest) == (expected[i] if i is not None else (None,) * 6), i
     assert chroma.align(df.limit(0), "id", "m").count() == 0
+
+
+def test_smaller_ids_with_the_same_integers_hide_no_alignment(spark, monkeypatch):
+    """Recording 1 has the integers of 2 and 3 at scattered times; all pairs of places give the peak."""
+    r = np.random.default_rng(8)
+    song, step = melody(r, 2.0), chroma.HOP * 30
+    cuts = [song[k : k + step + chroma.FRAME + chroma.WIDTH * chroma.HOP] for k in range(0, len(song) - step, step)]  # nearly every integer of song is in one
+    rows = [(1, np.concatenate([cuts[k] for k in r.permutation(len(cuts) - 1)])), (2, song), (3, np.concatenate([melody(r, 1.0)[: 3 * step], song]))]
+    df = spark.createDataFrame([(i, m.tobytes()) for i, m in rows], "id long, m binary")
+    runs = {i: [(t, v) for t, v in enumerate(c) if t == 0 or c[t - 1] != v] for i, c in ((i, chroma.codes([chroma.samples(m.tobytes())])[0].tolist()) for i, m in rows)}
+    votes = {}
+    for t, v in runs[3]:
+        for j in (1, 2):
+            for s, w in runs[j]:
+                if v == w:
+                    votes[j, t - s] = votes.get((j, t - s), 0) + 1
+    (ref, offset), n = max(votes.items(), key=lambda x: x[1])
+    assert ref == 2 and n > 100
+    for hot in (1000, 1):
+        monkeypatch.setattr(chroma, "HOT", hot, raising=False)
+        got = {x["id"]: x for x in chroma.align(df, "id", "m").collect()}
+        assert (got[3]["aligned_to"], got[3]["offset"], got[3]["bit_errors"]) == (2, offset, 0)
+        assert got[1]["aligned_to"] is None and got[2]["aligned_to"] == 1
