@@ -24,8 +24,8 @@ from lodestar.plans.scratch import materialize
 
 WINDOW = 2048
 SHARD_TOKENS = 4_000_000
-#: The seed's terms of the largest weight that make the query.
-QUERY_TERMS = 24
+#: Terms in at least one of so many of a shard's documents have a dense row of weights.
+DENSE = 16
 K1, B = 1.2, 0.75
 
 
@@ -59,19 +59,26 @@ class _Index:
         norm = (K1 * (1 - B + B * np.array([len(d) for d in docs], np.float32) / mean)).astype(np.float32)
         weight = idf[flat] * tf * (K1 + 1) / (tf + norm[owner])
         self.terms = terms
-        self.weights = np.split(weight, np.cumsum(sizes)[:-1])
         order = np.argsort(flat, kind="stable")
         self.owner, self.weight = owner[order], weight[order]
         self.bounds = np.searchsorted(flat[order], np.arange(len(idf) + 1))
         self.n = len(docs)
+        common = np.flatnonzero(np.diff(self.bounds) * DENSE >= self.n)
+        self.row = np.full(len(idf), -1)
+        self.row[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), self.n), np.float32)
+        for k, t in enumerate(common):
+            a, b = self.bounds[t], self.bounds[t + 1]
+            self.dense[k, self.owner[a:b]] = self.weight[a:b]
 
     def ranked(self, seed: int, used: np.ndarray) -> np.ndarray:
-        """Unused documents that share a query term with the seed, by falling score and then place."""
-        best = np.argsort(-self.weights[seed], kind="stable")[:QUERY_TERMS]
-        score = np.zeros(self.n, np.float64)
-        for t in self.terms[seed][best]:
-            a, b = self.bounds[t], self.bounds[t + 1]
-            score[self.owner[a:b]] += self.weight[a:b]
+        """Unused documents that share a term with the seed, by falling BM25 score over all its terms and then place."""
+        terms = self.terms[seed]
+        rows = self.row[terms]
+        score = self.dense[rows[rows >= 0]].sum(axis=0, dtype=np.float64)
+        spans = [slice(self.bounds[t], self.bounds[t + 1]) for t in terms[rows < 0]]
+        if spans:
+            score += np.bincount(np.concatenate([self.owner[x] for x in spans]), np.concatenate([self.weight[x] for x in spans]), self.n)
         score[used] = 0
         found = np.flatnonzero(score)
         return found[np.argsort(-score[found], kind="stable")]

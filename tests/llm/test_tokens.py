@@ -177,3 +177,19 @@ def test_packing_of_odd_tables(docs_of, word_bpe):
     out = packing.pack(df, word_bpe, extra_col="source")
     assert sum(r["length"] for r in out.collect()) == 1 + 2 + 2 + 2 and "source" in out.columns
     assert packing.pack(df.limit(0), word_bpe).count() == 0
+
+
+def test_neighbours_are_ranked_by_all_terms():
+    """Documents of some 60 terms, against plain BM25 over every term of the seed."""
+    r = np.random.default_rng(3)
+    docs = [np.concatenate([r.choice(400, 60), r.choice(20, 20)]).astype(np.uint16) for _ in range(50)]
+    df = np.zeros(401)
+    for d in docs:
+        df[np.unique(d)] += 1
+    idf = np.log(1 + (50 - df + 0.5) / (df + 0.5)).astype(np.float32)
+    index = packing._Index(docs, idf, 80.0)
+    for seed in range(5):
+        used = np.arange(50) == seed
+        plain = np.array([0 if used[k] else sum(idf[t] * c * (packing.K1 + 1) / (c + packing.K1) for t in set(docs[seed].tolist()) if (c := int((d == t).sum()))) for k, d in enumerate(docs)])
+        got = index.ranked(seed, used)
+        assert sorted(got) == np.flatnonzero(plain).tolist() and np.allclose(plain[got], np.sort(plain[plain > 0])[::-1], atol=1e-4)
