@@ -1,6 +1,6 @@
 """HTML to text as it is laid out: a tree builder with implied tags, visibility rules and a block layout.
 
-All visible text is emitted. White space collapses but in `pre` and `textarea`; blocks start on a new line, those with
+All visible text is emitted, but the options of `select`. White space collapses but in `pre`, `xmp` and `textarea`; blocks start on a new line, those with
 margins after an empty line; list items get a mark and an indent; the cells of a table's columns are padded to one
 width. Only elements whose layout needs their own lines (items, quotes, cells) hold them apart, so time and memory
 follow the page, whatever its nesting.
@@ -18,9 +18,12 @@ from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is no markup; that of the first kind is no text that shows either.
-UNSEEN_RAW = frozenset("script style title iframe noembed noframes noscript xmp".split())
-SEEN_RAW = frozenset({"textarea"})
-UNSEEN = frozenset("head template datalist object canvas audio video svg math select".split())
+UNSEEN_RAW = frozenset("script style title iframe noembed noframes noscript".split())
+SEEN_RAW = frozenset({"textarea", "xmp"})
+UNSEEN = frozenset("head template datalist canvas audio video select".split())
+#: In `svg` only what these hold shows, and in `svg` and `math` nothing of those.
+LABELS = frozenset({"text", "foreignobject"})
+UNSEEN_IN = {"svg": frozenset("desc metadata defs symbol clippath mask pattern marker".split()), "math": frozenset({"annotation", "annotation-xml"})}
 MARGIN = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu table blockquote pre figure fieldset hr".split())
 BLOCK = MARGIN | frozenset("address article aside body caption center dd details dialog dir div dt figcaption footer form header hgroup html legend li main nav search section summary tbody tfoot thead tr td th".split())
 #: A start tag on the left ends open elements on the right, up to the bound.
@@ -84,10 +87,11 @@ class _Lines:
 class _Open:
     """An open element; `own` are the lines that it holds apart."""
 
-    __slots__ = ("tag", "hidden", "own", "mark", "number", "rows", "span", "pre")
+    __slots__ = ("tag", "unseen", "drawn", "hidden", "own", "mark", "number", "rows", "span", "pre")
 
-    def __init__(self, tag: str, hidden: bool, own: _Lines | None, pre: bool) -> None:
-        self.tag, self.hidden, self.own, self.pre = tag, hidden, own, pre
+    def __init__(self, tag: str, unseen: bool, drawn: bool, own: _Lines | None, pre: bool) -> None:
+        self.tag, self.unseen, self.drawn, self.own, self.pre = tag, unseen, drawn, own, pre
+        self.hidden = unseen or drawn
         self.mark, self.number, self.rows, self.span = "", 0, [], 1
 
 
@@ -96,7 +100,7 @@ class Page:
 
     def __init__(self) -> None:
         self.out = _Lines()
-        self.stack = [_Open("", False, self.out, False)]
+        self.stack = [_Open("", False, False, self.out, False)]
         self.counts: dict[str, int] = {}
         self.writers = [self.out]
 
@@ -120,7 +124,10 @@ class Page:
             self.close_upto(*ENDS[tag])
         top = self.stack[-1]
         found = {a.lower(): (b or c or d) for a, b, c, d in _ATTR.findall(attrs)} if attrs.strip(" /\n\t") else {}
-        hidden = top.hidden or tag in UNSEEN or "hidden" in found or (tag == "dialog" and "open" not in found) or bool(_UNSEEN_STYLE.search(found.get("style", "")))
+        unseen = top.unseen or tag in UNSEEN or any(tag in t and self.counts.get(x) for x, t in UNSEEN_IN.items()) or "hidden" in found or (tag == "dialog" and "open" not in found) or bool(_UNSEEN_STYLE.search(found.get("style", "")))
+        label = tag in LABELS and bool(self.counts.get("svg"))
+        drawn = tag == "svg" or (top.drawn and not label)
+        hidden = unseen or drawn
         if tag in VOID:
             if not hidden and tag == "br":
                 self.writers[-1].inline.append("\n")
@@ -129,8 +136,10 @@ class Page:
             elif not hidden and tag == "input" and found.get("type", "").lower() in ("submit", "button", "reset"):
                 self.text(found.get("value", ""))
             return
-        e = _Open(tag, hidden, None, top.pre or tag == "pre")
+        e = _Open(tag, unseen, drawn, None, top.pre or tag == "pre")
         if not hidden:
+            if label:
+                self.writers[-1].block(False)
             if tag in BLOCK:
                 self.writers[-1].block(tag in MARGIN and not (tag in ("ul", "ol") and self.counts.get("li")))
             if tag in ("li", "blockquote", "td", "th", "dd"):
@@ -179,6 +188,8 @@ class Page:
         self.counts[e.tag] -= 1
         if e.hidden:
             return
+        if e.tag in LABELS and self.counts.get("svg"):
+            self.writers[-1].block(False)
         if e.own is not None:
             e.own.flush()
             self.writers.pop()
@@ -276,7 +287,7 @@ def render(page: str) -> str:
             raw, after = page[pos : stop.start() if stop else n], stop.end() if stop else n
             if tag in SEEN_RAW:
                 tree.start("pre", attrs)
-                tree.text(raw)
+                tree.text(raw.replace("&", "&amp;") if tag == "xmp" else raw)
                 tree.end("pre")
             pos = page.find(">", after) + 1 if stop and page.find(">", after) >= 0 else n
         else:

@@ -166,3 +166,17 @@ def test_smaller_ids_with_the_same_integers_hide_no_alignment(spark, monkeypatch
         got = {x["id"]: x for x in chroma.align(df, "id", "m").collect()}
         assert (got[3]["aligned_to"], got[3]["offset"], got[3]["bit_errors"]) == (2, offset, 0)
         assert got[1]["aligned_to"] is None and got[2]["aligned_to"] == 1
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math> holds", "so x=2 holds"),
+        ("a<svg><title>no</title><desc>no</desc>no<g><text>north</text><text>so<tspan>uth</tspan></text></g></svg>b", "a\nnorth\nsouth\nb"),
+        ("<svg hidden><text>no</text></svg><svg><g style='display:none'><text>no</text></g><defs><text>no</text></defs></svg>x", "x"),
+        ("<xmp>\n<b>a &amp;\n  c</xmp>d", "<b>a &amp;\n  c\n\nd"),
+        ("<object data=x><p>instead</p></object>", "instead"),
+    ],
+)
+def test_formulas_labels_listings_and_fallbacks_show(page, text):
+    assert render(page) == text
