@@ -39,7 +39,7 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets give way to a mark."""
-    return _recount(secrets.redact_secrets(docs))
+    return _recount(secrets.redact_secrets(docs, whole=True))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -81,9 +81,10 @@ def _windows(s: Column, most: Column) -> Column:
     return F.aggregate(moves, start, step, lambda acc: acc["runs"])
 
 
-def find_secrets(docs: DataFrame, text_col: str = "text", spans_col: str = "secret_spans") -> DataFrame:
+def find_secrets(docs: DataFrame, text_col: str = "text", spans_col: str = "secret_spans", whole: bool = False) -> DataFrame:
     """docs with an array of (start, stop, kind), by start and then kind as in KINDS (0 for `assign`); none for a null or empty text.
 
+    `whole` widens what the query's SQL and tests state, for the pipeline: spans that touch a base span stay, too.
     The column replaces one of its name. Each row is judged by itself, so repeated rows get the same spans.
     """
     df = docs.withColumn("__t", F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
@@ -98,7 +99,7 @@ def find_secrets(docs: DataFrame, text_col: str = "text", spans_col: str = "secr
     df = df.withColumn("__c", F.when(F.size("__c") > 0, open_).otherwise(F.col("__c")))
     added = F.flatten(F.transform("__c", lambda m: F.transform(_windows(m["s"], F.when(m["s"].rlike("^[0-9a-fA-F]+$"), MOST["hex"]).otherwise(MOST["other"])), lambda w: span(m["start"] + w["a"], m["start"] + w["b"], 3))))
     df = df.withColumn("__e", F.when(F.size("__c") > 0, added).otherwise(F.array().cast(_NO_SPANS)))
-    fresh = F.filter("__e", lambda e: ~F.exists("__b", lambda b: (b["start"] < e["stop"]) & (e["start"] < b["stop"])))
+    fresh = F.filter("__e", lambda e: ~F.exists("__b", lambda b: (b["start"] < e["stop"]) & (e["start"] < b["stop"]))) if not whole else F.col("__e")
     ordered = F.array_sort(F.transform(F.concat(F.col("__b"), fresh), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"))))
     spans = F.transform(ordered, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind")))
     df = df.withColumn("__z", F.when(F.size("__b") + F.size("__e") > 0, spans).otherwise(F.array().cast(_NO_SPANS)))
@@ -110,9 +111,9 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(F.array(*map(F.lit, KINDS)), s["kind"]), s["start"], s["stop"])), ",")
 
 
-def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """docs, each stretch of text that spans cover replaced by `mark`; other rows, null and empty texts as they are."""
-    df = find_secrets(docs, text_col, "__spans")
+def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", whole: bool = False) -> DataFrame:
+    """docs, each stretch of text that spans cover replaced by `mark`; other rows, null and empty texts as they are. `whole` as in find_secrets."""
+    df = find_secrets(docs, text_col, "__spans", whole)
     one = lambda p, q: F.array(F.struct(p.alias("a"), q.alias("b")))
 
     def merge(acc: Column, s: Column) -> Column:
