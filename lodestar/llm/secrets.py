@@ -59,11 +59,17 @@ def _matches(df: DataFrame, text: str, pattern: str, out: str) -> DataFrame:
     return df.withColumn(out, F.when(some, at).otherwise(F.array().cast("array<struct<start:int,s:string>>"))).drop(found, steps, blocks, sums)
 
 
-def _windows(s: Column, most: Column) -> Column:
-    """Stretches of s covered by windows whose sum of c log2 c is at most `most`: an array of (a, b)."""
+def _windows(s: Column, most: Column, whole: bool) -> Column:
+    """Stretches of s covered by windows whose sum of c log2 c is at most `most`: an array of (a, b).
+
+    With `whole`, a window of hex digits, letters among them, is judged as `hex` whatever is beside it.
+    """
     f = F.array(*map(F.lit, CLOGC))
     place = lambda i: F.when(i >= 1, F.instr(F.lit(ALPHABET), F.substring(s, i, F.lit(1)))).otherwise(F.lit(-1))
 
+    letters, digits = [ALPHABET.index(c) + 1 for c in "ABCDEFabcdef"], [ALPHABET.index(c) + 1 for c in "0123456789"]
+    many = lambda counts, places: sum((F.get(counts, F.lit(k)) for k in places), F.lit(0))
+
     def step(acc: Column, x: Column) -> Column:
         come, go = x["come"], x["go"]
         n = F.coalesce(F.get(acc["counts"], come), F.lit(0))
@@ -72,6 +78,9 @@ def _windows(s: Column, most: Column) -> Column:
         counts = F.transform(acc["counts"], lambda c, k: c + F.when(k == come, 1).otherwise(0) - F.when(k == go, 1).otherwise(0))
         last = F.get(acc["runs"], F.size(acc["runs"]) - 1)
         a, new = x["i"] - WINDOW, (x["i"] >= WINDOW) & (total <= most)
+        if whole:
+            n_letters = many(counts, letters)
+            new = new | ((x["i"] >= WINDOW) & (total <= MOST["hex"]) & (n_letters > 0) & (n_letters + many(counts, digits) == WINDOW))
         one = lambda p, q: F.array(F.struct(p.alias("a"), q.alias("b")))
         runs = F.when(~new, acc["runs"]).when(last["b"] >= a, F.concat(F.slice(acc["runs"], F.lit(1), F.size(acc["runs"]) - 1), one(last["a"], x["i"]))).otherwise(F.concat(acc["runs"], one(a, x["i"])))
         return F.struct(counts.alias("counts"), total.alias("total"), runs.alias("runs"))
@@ -84,7 +93,8 @@ def _windows(s: Column, most: Column) -> Column:
 def find_secrets(docs: DataFrame, text_col: str = "text", spans_col: str = "secret_spans", whole: bool = False) -> DataFrame:
     """docs with an array of (start, stop, kind), by start and then kind as in KINDS (0 for `assign`); none for a null or empty text.
 
-    `whole` widens what the query's SQL and tests state, for the pipeline: spans that touch a base span stay, too.
+    `whole` widens what the query's SQL and tests state, for the pipeline: spans that touch a base span stay, and each window
+    is judged by its own characters.
     The column replaces one of its name. Each row is judged by itself, so repeated rows get the same spans.
     """
     df = docs.withColumn("__t", F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
@@ -97,7 +107,7 @@ def find_secrets(docs: DataFrame, text_col: str = "text", spans_col: str = "secr
     df = df.withColumn("__b", F.concat(base("__a", 0), base("__k", 1), base("__x", 2)))
     open_ = F.filter("__c", lambda m: ~m["s"].rlike(ALLOWED))
     df = df.withColumn("__c", F.when(F.size("__c") > 0, open_).otherwise(F.col("__c")))
-    added = F.flatten(F.transform("__c", lambda m: F.transform(_windows(m["s"], F.when(m["s"].rlike("^[0-9a-fA-F]+$"), MOST["hex"]).otherwise(MOST["other"])), lambda w: span(m["start"] + w["a"], m["start"] + w["b"], 3))))
+    added = F.flatten(F.transform("__c", lambda m: F.transform(_windows(m["s"], F.when(m["s"].rlike("^[0-9a-fA-F]+$"), MOST["hex"]).otherwise(MOST["other"]), whole), lambda w: span(m["start"] + w["a"], m["start"] + w["b"], 3))))
     df = df.withColumn("__e", F.when(F.size("__c") > 0, added).otherwise(F.array().cast(_NO_SPANS)))
     fresh = F.filter("__e", lambda e: ~F.exists("__b", lambda b: (b["start"] < e["stop"]) & (e["start"] < b["stop"]))) if not whole else F.col("__e")
     ordered = F.array_sort(F.transform(F.concat(F.col("__b"), fresh), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"))))
