@@ -30,6 +30,11 @@ WINDOW = 20
 BITS = {"hex": 2.9, "other": 3.8}
 #: Candidates that are no secrets: digits, UUIDs, words with separators, placeholders, runs of the alphabet.
 ALLOWED = "^[0-9]+$|^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$|^[A-Za-z]*([-_/=+]+[A-Za-z]+)*[-_/=+]*$|[Ee][Xx][Aa][Mm][Pp][Ll][Ee]|[Xx]{6}|[Pp][Ll][Aa][Cc][Ee][Hh][Oo][Ll][Dd][Ee][Rr]|abcdefgh|ABCDEFGH|01234567"
+#: Segments of a candidate, and what holds for one of them where all are judged: placeholders, and words.
+SEGMENTS = "(?<=[-_/=+])|(?=[-_/=+])"
+PLACEHOLDER = "[Ee][Xx][Aa][Mm][Pp][Ll][Ee]|[Xx]{6}|[Pp][Ll][Aa][Cc][Ee][Hh][Oo][Ll][Dd][Ee][Rr]|abcdefgh|ABCDEFGH|01234567"
+WORDS = "^(?:[-_/=+]|[a-z]+|[A-Z]+|[A-Z][a-z]+|(?:[A-Z]?[a-z]{3,}+|[A-Z]{3,})+|)$"
+NUMBERS = "^[0-9]+$|^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
 #: c log2 c in millionths, so that sums are exact in any order; a window's entropy is log2(w) - sum / w.
 CLOGC = [round(c * math.log2(c) * 1e6) if c else 0 for c in range(WINDOW + 2)]
 MOST = {k: CLOGC[WINDOW] - round(b * WINDOW * 1e6) for k, b in BITS.items()}
@@ -94,7 +99,7 @@ def find_secrets(docs: DataFrame, text_col: str = "text", spans_col: str = "secr
     """docs with an array of (start, stop, kind), by start and then kind as in KINDS (0 for `assign`); none for a null or empty text.
 
     `whole` widens what the query's SQL and tests state, for the pipeline: spans that touch a base span stay, and each window
-    is judged by its own characters.
+    is judged by its own characters; of the allow-list, placeholders count for their segment and words by their case.
     The column replaces one of its name. Each row is judged by itself, so repeated rows get the same spans.
     """
     df = docs.withColumn("__t", F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
@@ -105,7 +110,12 @@ def find_secrets(docs: DataFrame, text_col: str = "text", spans_col: str = "secr
     span = lambda a, b, k: F.struct(a.cast("int").alias("start"), b.cast("int").alias("stop"), F.lit(k).alias("kind"))
     base = lambda c, k: F.transform(c, lambda m: span(m["start"], m["start"] + F.length(m["s"]), k))
     df = df.withColumn("__b", F.concat(base("__a", 0), base("__k", 1), base("__x", 2)))
-    open_ = F.filter("__c", lambda m: ~m["s"].rlike(ALLOWED))
+    if whole:
+        masked = lambda s: F.array_join(F.transform(F.split(s, SEGMENTS), lambda x: F.when(x.rlike(PLACEHOLDER), F.repeat(F.lit("x"), F.length(x))).otherwise(x)), "")
+        plain = F.transform("__c", lambda m: F.struct(m["start"].alias("start"), F.when(m["s"].rlike(NUMBERS), F.lit("")).otherwise(masked(m["s"])).alias("s")))
+        open_ = F.filter(plain, lambda m: (F.length(m["s"]) > 0) & ~F.forall(F.split(m["s"], SEGMENTS), lambda x: x.rlike(WORDS)))
+    else:
+        open_ = F.filter("__c", lambda m: ~m["s"].rlike(ALLOWED))
     df = df.withColumn("__c", F.when(F.size("__c") > 0, open_).otherwise(F.col("__c")))
     added = F.flatten(F.transform("__c", lambda m: F.transform(_windows(m["s"], F.when(m["s"].rlike("^[0-9a-fA-F]+$"), MOST["hex"]).otherwise(MOST["other"]), whole), lambda w: span(m["start"] + w["a"], m["start"] + w["b"], 3))))
     df = df.withColumn("__e", F.when(F.size("__c") > 0, added).otherwise(F.array().cast(_NO_SPANS)))

@@ -169,3 +169,11 @@ def test_redaction_judges_windows_by_their_own_class(docs_of):
     for key in ("7F3A09C2E58B41D6F09A3C7E2B5D8146", "c41f7ae9038b5d26fa907e3b"):
         for before in ("sig=", "key-", "id_", "v1/get/"):
             assert key[4:-4] not in redacted(docs_of, f"x {before}{key} y"), (before, key)
+
+
+def test_redaction_allows_words_and_placeholders_only(docs_of):
+    for text in ("kJhGfDsAqWeRtYuIoPzXcVbNmLpQwErT", "example/" + KEY, KEY + "-xxxxxxxx"):
+        out = redacted(docs_of, f"x {text} y")
+        assert "[SECRET]" in out and "GfDsAqWe" not in out and KEY[8:32] not in out, out
+    for text in ("some/very/long/path/with/words/only", "HttpRequestHandlerFactoryBuilder", "123e4567-e89b-12d3-a456-426614174000", "UPPER_CASE_CONSTANT_WITH_WORDS", "my-example0123-placeholder99"):
+        assert redacted(docs_of, f"x {text} y") == f"x {text} y"
