@@ -1,12 +1,15 @@
 """What the operators of this subpackage share.
 
 Rows of one id: rows that repeat both id and text are one document that is written down twice, and get the same
-result; ROW tells rows of one id with different texts apart. Names of helper columns start with `__`, so that no
-column of the input clashes with them; result columns replace input columns of the same name.
+result; ROW tells rows of one id with different texts apart. Operators that hand on the input's columns work on a
+table whose columns are renamed (`renamed`), so that no name clashes with their helpers, which start with `__`; result
+columns replace input columns of the same name.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +34,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def renamed(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """df with its columns, by their places, named in0, in1, ..., and these names."""
+    names = [f"in{k}" for k in range(len(df.columns))]
+    return df.toDF(*names), names
+
+
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x, with x computed once however often f refers to it, even inside lambdas."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def words_of(text: Column) -> Column:
     """Words `[^\\x20\\x09-\\x0D]+` of a text without null."""
     return F.array_remove(F.split(F.translate(text, SPACES[:-1], " " * 5), " "), "")

@@ -177,3 +177,19 @@ def test_redaction_allows_words_and_placeholders_only(docs_of):
         assert "[SECRET]" in out and "GfDsAqWe" not in out and KEY[8:32] not in out, out
     for text in ("some/very/long/path/with/words/only", "HttpRequestHandlerFactoryBuilder", "123e4567-e89b-12d3-a456-426614174000", "UPPER_CASE_CONSTANT_WITH_WORDS", "my-example0123-placeholder99"):
         assert redacted(docs_of, f"x {text} y") == f"x {text} y"
+
+
+@pytest.mark.parametrize("text", ["ab-" * 400_000, "Abcd" * 250_000, "".join(random.Random(1).choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=300_000)), "token=abcdefgh1 " * 30_000])
+def test_secrets_of_very_long_candidates(docs_of, text):
+    got = secrets.find_secrets(docs_of([(1, text)])).first()
+    expected = plain_spans(text)
+    assert [(s["start"], s["kind"], s["stop"]) for s in got["secret_spans"]] == expected
+    assert ("[SECRET]" in redacted(docs_of, text)) == bool(expected)
+
+
+def test_secrets_beside_clashing_names(spark):
+    names = ["doc_id", "text", "__t", "__z", "in0", "secret_spans", "Text2"]
+    df = spark.createDataFrame([(1, "x token=abcdefgh0 y", "t", "z", "i", "s", "u")], names)
+    found = secrets.find_secrets(df)
+    assert found.columns == [n for n in names if n != "secret_spans"] + ["secret_spans"] and tuple(found.first())[2:6] == ("t", "z", "i", "u")
+    assert [tuple(r) for r in secrets.redact_secrets(df).collect()] == [(1, "x [SECRET] y", "t", "z", "i", "s", "u")]
