@@ -9,14 +9,20 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from lodestar.functions.encoding import agree_mask, mask_of
 from lodestar.plans.scratch import materialize
 
-#: Rows of one value that a window task holds; larger clusters are divided, which loses pairs but no result.
+#: Rows of one value that a window task holds; larger clusters are divided in their order.
 CLUSTER_ROWS = 100_000
+#: Parts of a cluster whose ends are found before the cluster's own.
+END_PARTS = 64
+#: Rows for each column whose neighbours a sampler compares, and the least number of clusters that it takes them from.
+SAMPLE_ROWS, SAMPLE_CLUSTERS = 20_000, 50
+#: Distances at which a sampler compares the rows of a cluster, round by round.
+ROUNDS = ((1,), (2,), (3, 4), (5, 6, 7, 8), tuple(range(9, 17)), tuple(range(17, 33)))
 
 
 def width(codes: DataFrame) -> int:
@@ -61,10 +67,10 @@ def all_pairs(codes: DataFrame, max_rows: int = 50_000) -> DataFrame:
     return counted.select("mask").distinct().union(empty)
 
 
-def _order(n: int, k: Column) -> list[Column]:
-    """Within a column's clusters: by the column before it, then by the one after it, both falling (cyclic), then all."""
+def _order(n: int, k: Column, falling: bool = True) -> list[Column]:
+    """Within a column's clusters: by the column before it, then by the one after it, both falling (cyclic); or the reverse."""
     pick = lambda shift: F.get(F.col("codes"), F.pmod(k + shift, F.lit(n)))
-    return [pick(-1).desc(), pick(1).desc()]
+    return [pick(-1).desc(), pick(1).desc()] if falling else [pick(-1).asc(), pick(1).asc()]
 
 
 def unpivoted(codes: DataFrame, n: int) -> DataFrame:
@@ -83,47 +89,100 @@ def _mask_of_codes(left: Column, right: Column, n: int) -> Column:
 
 
 def cluster_windows(codes: DataFrame, distances: Sequence[int] = (1, 2), columns: Sequence[int] | None = None) -> DataFrame:
-    """`mask`, `k`, `distance` of pairs so far apart in a column's clusters; all columns and distances in one shuffle.
+    """`mask`, `k`, `distance` of pairs so far apart in a column's clusters, sorted by their neighbour columns.
 
-    Clusters are sorted by their neighbour columns. One of more than CLUSTER_ROWS rows is divided by a hash of the rows.
+    Clusters of more than CLUSTER_ROWS rows are divided into ranges of their order; pairs across the bounds meet by
+    their places in the whole cluster. So the pairs are the same whatever a cluster's size.
     """
     n = width(codes)
     long = unpivoted(codes, n)
     if columns is not None:
         long = long.where(F.col("k").isin(list(columns)))
+    return _neighbours(long, n, distances)
+
+
+def _neighbours(long: DataFrame, n: int, distances: Sequence[int], most_rows: int | None = None) -> DataFrame:
+    """Pairs of neighbours; `most_rows`, if known, is no less than the rows of any cluster."""
+    order = [*_order(n, F.col("k")), F.col("id") if "id" in long.columns else F.xxhash64("codes")]
+    w = Window.partitionBy("k", "code").orderBy(*order)
+    if most_rows is not None and most_rows <= CLUSTER_ROWS:
+        return _pairs(long, w, n, distances)
     sizes = long.groupBy("k", "code").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
-    parts = F.ceil(F.col("size") / CLUSTER_ROWS)
-    long = long.join(sizes, ["k", "code"]).withColumn("part", F.pmod(F.xxhash64("codes"), parts))
-    tie = [F.col("id")] if "id" in codes.columns else [F.xxhash64("codes")]
-    w = Window.partitionBy("k", "code", "part").orderBy(*_order(n, F.col("k")), *tie)
+    hot = sizes.where(F.col("size") > CLUSTER_ROWS)
+    hot_rows = hot.agg(F.sum("size")).first()[0]
+    some = sizes.where(F.col("size") <= CLUSTER_ROWS).select("k", "code")
+    out = _pairs(long.join(some, ["k", "code"]), w, n, distances)
+    if hot_rows is None:
+        return out
+    ranges = long.join(hot.select("k", "code"), ["k", "code"]).repartitionByRange(-(-hot_rows // CLUSTER_ROWS), "k", "code", *order)
+    parted = materialize(ranges.withColumn("part", F.spark_partition_id()), "ranges")
+    out = out.union(_pairs(parted, Window.partitionBy("k", "code", "part").orderBy(*order), n, distances))
+    counts = parted.groupBy("k", "code", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("k", "code").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each part
+    placed = parted.withColumn("i", F.row_number().over(Window.partitionBy("k", "code", "part").orderBy(*order))).join(counts.withColumn("before", before), ["k", "code", "part"])
+    most = max(distances, default=0)
+    ends = placed.where((F.col("i") <= most) | (F.col("i") > F.col("n") - most)).select("k", "code", "codes", "part", (F.col("before") + F.col("i")).alias("at"))
+    ends = materialize(ends, "ends")
+    ahead = ends.select("k", "code", "codes", "part", F.explode(F.array(*map(F.lit, distances))).alias("distance"), "at").withColumn("at", F.col("at") + F.col("distance"))
+    across = ahead.join(ends.select("k", "code", "at", F.col("codes").alias("other"), F.col("part").alias("beyond")), ["k", "code", "at"]).where("part <> beyond")
+    return out.union(across.select(_mask_of_codes(F.col("codes"), F.col("other"), n).alias("mask"), "k", "distance"))
+
+
+def _pairs(long: DataFrame, w: WindowSpec, n: int, distances: Sequence[int]) -> DataFrame:
     ahead = long.select("k", "codes", *[F.lead("codes", d).over(w).alias(f"o{d}") for d in distances])
     pairs = ahead.select("k", "codes", F.explode(F.array(*[F.struct(F.lit(d).alias("distance"), F.col(f"o{d}").alias("other")) for d in distances])).alias("p"))
     return pairs.where("p.other is not null").select(_mask_of_codes(F.col("codes"), F.col("p.other"), n).alias("mask"), "k", "p.distance")
 
 
-def progressive_windows(codes: DataFrame, threshold: float = 0.01, max_distance: int = 64) -> set[int]:
-    """Masks from clusters at growing distances; a column goes on while new masks per comparison stay over the threshold.
+class Sampler:
+    """Agree sets of neighbours in clusters, at growing distances, from the columns that yield most.
 
-    Columns are ranked by that yield after each round. The threshold is halved when no column reaches it, at most once.
+    A column goes on while new masks per comparison stay over the threshold, which is halved whenever the sampler is
+    resumed. Of large tables it looks at whole clusters, about SAMPLE_ROWS rows for each column: those of values with a
+    certain hash, or, where a column has few values, of values together with those of its neighbour columns, by which
+    clusters are sorted. So rows that would be neighbours stay neighbours, however large the table is.
     """
-    n = width(codes)
-    rows = codes if "id" in codes.columns else numbered(codes)
-    seen: set[int] = set()
-    active, yields, halved = list(range(n)), dict.fromkeys(range(n), 1.0), False
-    for d in range(1, max_distance + 1):
-        if not active:
-            break
-        found = cluster_windows(rows, [d], active).groupBy("k", "mask").agg(F.count(F.lit(1)).alias("n")).collect()  # sets of columns
-        for k in active:
-            mine = [(mask_of(r["mask"]), r["n"]) for r in found if r["k"] == k]
-            yields[k] = sum(m not in seen for m, _ in mine) / max(1, sum(c for _, c in mine))
-        seen |= {mask_of(r["mask"]) for r in found}
-        still = sorted((k for k in active if yields[k] > threshold), key=lambda k: -yields[k])
-        if not still and not halved:
-            halved, threshold = True, threshold / 2
-            still = [k for k in active if yields[k] > threshold]
-        active = still
-    return seen
+
+    def __init__(self, codes: DataFrame, rows: int, threshold: float = 0.01):
+        self.n, self.threshold = width(codes), threshold
+        self.seen: set[int] = set()
+        self.yields, self.round = dict.fromkeys(range(self.n), 1.0), dict.fromkeys(range(self.n), 0)
+        self.runs = 0
+        self.long = self._sampled(codes, -(-rows // SAMPLE_ROWS))
+        self.rows = rows if rows <= CLUSTER_ROWS else max((r["count"] for r in self.long.groupBy("k").count().collect()), default=0)
+
+    def _sampled(self, codes: DataFrame, share: int) -> DataFrame:
+        if not self.n:
+            return unpivoted(codes, self.n)
+        if share <= 1:
+            return materialize(unpivoted(codes.distinct(), self.n), "sample")
+        counts = codes.agg(*[F.approx_count_distinct(f"c{k}", 0.1) for k in range(self.n)]).first()
+        everything, sides = F.array(*[F.col(f"c{k}") for k in range(self.n)]), []
+        for k in range(self.n):
+            by = [f"c{(k + j) % self.n}" for j in ((0,) if counts[k] >= share * SAMPLE_CLUSTERS else (-1, 0, 1))]
+            taken = codes.where((F.pmod(F.xxhash64(F.lit(k), *by), F.lit(share)) == 0) & F.col(f"c{k}").isNotNull())
+            sides.append(taken.select(everything.alias("codes"), F.lit(k).alias("k"), F.col(f"c{k}").alias("code")))
+        return materialize(reduce(DataFrame.unionAll, sides).distinct(), "sample")
+
+    def run(self) -> set[int]:
+        """Rounds until no column reaches the threshold; all masks so far. Another call resumes with half of it."""
+        self.threshold /= 2 if self.runs else 1
+        self.runs += 1
+        while active := [k for k in range(self.n) if self.yields[k] > self.threshold and self.round[k] < len(ROUNDS)]:
+            least = min(self.round[k] for k in active)
+            active = [k for k in active if self.round[k] == least]
+            found = _neighbours(self.long.where(F.col("k").isin(active)), self.n, ROUNDS[least], self.rows).groupBy("k", "mask").agg(F.count(F.lit(1)).alias("n")).collect()  # sets of columns
+            for k in active:
+                mine = [(mask_of(r["mask"]), r["n"]) for r in found if r["k"] == k]
+                self.yields[k] = sum(m not in self.seen for m, _ in mine) / max(1, sum(c for _, c in mine))
+                self.round[k] += 1
+            self.seen |= {mask_of(r["mask"]) for r in found}
+        return self.seen
+
+
+def progressive_windows(codes: DataFrame, threshold: float = 0.01) -> set[int]:
+    """Masks from clusters at growing distances, of the columns whose yield stays over the threshold."""
+    return Sampler(codes, codes.count(), threshold).run()
 
 
 def record_windows(codes: DataFrame, distance: int = 100) -> DataFrame:
@@ -148,14 +207,24 @@ def small_clusters(codes: DataFrame, max_size: int = 16) -> DataFrame:
 
 
 def tops_and_bottoms(codes: DataFrame, depth: int = 3) -> DataFrame:
-    """`mask` of the first and the last `depth` rows of each cluster, each with each."""
+    """`mask` of the first and the last `depth` rows of each cluster, each with each.
+
+    The ends of END_PARTS parts of a cluster are found first, and of these the cluster's, so that no task holds a
+    large cluster.
+    """
     n = width(codes)
-    long = unpivoted(codes, n)
     order = [*_order(n, F.col("k")), F.col("id")]
-    w = Window.partitionBy("k", "code")
-    ranked = long.withColumn("top", F.row_number().over(w.orderBy(*order))).withColumn("size", F.count(F.lit(1)).over(w)).where("size > 1")
-    first = ranked.where(F.col("top") <= depth).select("k", "code", "id", "codes")
-    last = ranked.where(F.col("top") > F.col("size") - depth).select("k", "code", F.col("id").alias("oid"), F.col("codes").alias("other"))
+    falling = [*_order(n, F.col("k"), falling=False), F.col("id").desc()]
+
+    def ends(rows: DataFrame, *by: str) -> DataFrame:
+        w = Window.partitionBy("k", "code", *by)
+        ranked = rows.withColumn("top", F.row_number().over(w.orderBy(*order))).withColumn("bottom", F.row_number().over(w.orderBy(*falling)))
+        return ranked.where((F.col("top") <= depth) | (F.col("bottom") <= depth))
+
+    parts = ends(unpivoted(codes, n).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(END_PARTS))), "part")
+    both = ends(parts)
+    first = both.where(F.col("top") <= depth).select("k", "code", "id", "codes")
+    last = both.where(F.col("bottom") <= depth).select("k", "code", F.col("id").alias("oid"), F.col("codes").alias("other"))
     return first.join(last, ["k", "code"]).where("id <> oid").select(_mask_of_codes(F.col("codes"), F.col("other"), n).alias("mask")).distinct()
 
 

@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 from lodestar.functions.encoding import check_columns, encode
 from lodestar.operators import agree
 from lodestar.operators.cover import Cover, bits, induced, maximal
-from lodestar.operators.validate import clash_masks, refuted
+from lodestar.operators.validate import Checker, witness_masks
 from lodestar.plans.scratch import materialize
 
 log = logging.getLogger("lodestar")
 
 METHODS = ("hybrid", "pairs", "lattice")
-#: Rows whose neighbours are compared before any candidate is checked. A hint's size, not a bound on the result.
-SAMPLE_ROWS = 20_000
+#: Refuted candidates of a level up to which the search goes on without more samples.
+SWITCH = 8
 #: Columns up to which the lattice of all column sets may be spelled out.
 LATTICE_COLUMNS = 12
 
@@ -115,22 +115,25 @@ def _by_lattice(codes: DataFrame, n: int, rows: int, config: Config) -> Cover:
 
 
 def _by_levels(codes: DataFrame, n: int, rows: int, config: Config) -> Cover:
-    """Compare neighbours of a sample, induce candidates, and check them against all rows, level by level.
+    """Compare neighbours in clusters, induce candidates, and check them against all rows, level by level.
 
-    Where a level refutes more candidates than it confirms, pairs of rows that refute them are looked up, and the cover
-    is induced anew from what these pairs agree on, before the next level.
+    Where a level refutes more candidates than it confirms, and more than the level before it, clashing pairs of rows are
+    looked up, the sampler is resumed, and what both show refutes candidates of the levels to come.
     """
-    sample = codes if rows <= SAMPLE_ROWS else codes.sample(fraction=SAMPLE_ROWS / rows, seed=7)
-    cover = induced(n, maximal_needed(agree.masks(agree.cluster_windows(sample, (1, 2, 3))), n), config.limit, config.candidate_budget)
+    sampler = agree.Sampler(codes, rows)
+    cover = induced(n, maximal_needed(sampler.run(), n), config.limit, config.candidate_budget)
+    checker = Checker(codes, rows, not config.null_equals_null)
     done: set[tuple[int, int]] = set()
-    level = 0
+    level = before = 0
     while level <= min(cover.depth, n) and (config.limit is None or level <= config.limit):
         open_ = {x: sum(1 << a for a in bits(rights) if (x, a) not in done) for x, rights in cover.level(level).items()}
         open_ = {x: rights for x, rights in open_.items() if rights}
-        bad = refuted(codes, open_, rows, not config.null_equals_null) if open_ else {}
+        witnesses: dict[int, list[tuple[int, int]]] = {}
+        bad = checker.refuted(open_, witnesses) if open_ else {}
         done |= {(x, a) for x, rights in open_.items() for a in bits(rights & ~bad.get(x, 0))}
         wrong = [(x, a) for x, rights in bad.items() for a in bits(rights)]
-        log.info("level %d: %d candidates, %d refuted", level, sum(r.bit_count() for r in open_.values()), len(wrong))
+        right = sum(r.bit_count() for r in open_.values()) - len(wrong)
+        log.info("level %d: %d candidates, %d refuted", level, right + len(wrong), len(wrong))
         for x, a in wrong:
             cover.remove(x, a)
         for x, a in wrong:
@@ -138,9 +141,9 @@ def _by_levels(codes: DataFrame, n: int, rows: int, config: Config) -> Cover:
                 new = cover.extend(x, a, b)
                 if new is not None:
                     cover.add(new, a)
-        if len(wrong) > max(8, sum(r.bit_count() for r in open_.values()) - len(wrong)):
-            cover.induce(agree.masks(clash_masks(codes, {x: r for x, r in bad.items() if r}, n)))
-        level += 1
+        if len(wrong) > max(SWITCH, right) and len(wrong) > before and cover.depth > level:
+            cover.induce(maximal_needed(witness_masks(codes, witnesses, n) | sampler.run(), n))
+        level, before = level + 1, len(wrong)
     return cover
 
 

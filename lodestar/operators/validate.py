@@ -2,55 +2,124 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions.encoding import check_columns, encode, key, value
 from lodestar.operators.cover import bits
+from lodestar.plans.scratch import materialize
 
 #: Left-hand sides that one job looks at; each multiplies the rows that enter its aggregation.
 BATCH = 32
+#: Groups of two rows or more are kept if they hold at most one row of so many; and up to so many of them are broadcast.
+SHARE, FEW_GROUPS = 4, 500_000
 
 
-def refuted(codes: DataFrame, candidates: dict[int, int], n_rows: int, nulls: bool = True) -> dict[int, int]:
-    """Of candidates (mask of the left side -> mask of right sides): the right sides that don't hold.
+class Checker:
+    """Checks candidates against all rows of a table of codes.
 
-    One job for each BATCH of left sides: a row is sent once for each of them, as a key of two hashes, is reduced to
-    the least and largest code of each right side before the shuffle, and only one row for each left side comes back.
-    Rows with a null code on the left agree with no other. A null code on the right differs from any other row's.
-    Without null codes (nulls=False) none is looked for.
+    A left side is checked on the groups of two rows or more of some of its columns (a stripped partition), as only these
+    rows can clash: the two columns with most values. Where few rows are in such groups, they are written once, and all
+    left sides that hold these columns read them instead of the table, at this level and the next ones. To find them,
+    rows are sent as single hashes, for each pair of columns and not for each left side.
     """
-    out: dict[int, int] = {}
-    if n_rows <= 1:
-        return dict.fromkeys(candidates, 0)
-    lists = sorted(candidates)
-    for at in range(0, len(lists), BATCH):
-        batch = lists[at : at + BATCH]
-        rights = sorted({a for x in batch for a in bits(candidates[x])})
-        if not rights:
-            continue
-        sides = []
-        for j, x in enumerate(batch):
-            columns = list(bits(x))
-            k1, k2 = key(columns)
-            side = F.struct(F.lit(j).alias("x"), k1.alias("k1"), k2.alias("k2"))
-            whole = F.lit(True)
-            for k in columns:
-                whole = whole & F.col(f"c{k}").isNotNull()
-            sides.append(F.when(whole, side) if nulls else side)
-        rows = codes.select(F.explode(F.array(*sides)).alias("s"), *[f"c{a}" for a in rights]).where("s is not null")
-        aggs = [f(f"c{a}").alias(f"{v}{a}") for a in rights for f, v in ((F.min, "p"), (F.max, "q"))]
-        if nulls:
-            aggs += [F.count(F.lit(1)).alias("n"), *[F.count(f"c{a}").alias(f"n{a}") for a in rights]]
-        groups = rows.groupBy("s.x", "s.k1", "s.k2").agg(*aggs)
-        alone = lambda a: (F.col(f"n{a}") < F.col("n")) & (F.col("n") > 1) if nulls else F.lit(False)
-        clash = [F.coalesce(F.max((F.col(f"p{a}") != F.col(f"q{a}")) | alone(a)), F.lit(False)).alias(f"b{a}") for a in rights]
-        for row in groups.groupBy("x").agg(*clash).collect():  # one row for each left side
-            x = batch[row["x"]]
-            out[x] = sum(1 << a for a in rights if row[f"b{a}"]) & candidates[x]
-    return {x: out.get(x, 0) for x in lists}
+
+    def __init__(self, codes: DataFrame, n_rows: int, nulls: bool = True):
+        self.codes, self.n_rows, self.nulls = codes, n_rows, nulls
+        self.names = codes.columns
+        self.stripped: dict[int, DataFrame | None] = {}
+        self.values: dict[int, int] = {}
+
+    def _base(self, x: int) -> int:
+        """The two columns of a left side that have most values, as a mask."""
+        return sum(1 << k for k in sorted(bits(x), key=lambda k: (-self.values[k], k))[:2])
+
+    def _strip(self, lists: list[int]) -> None:
+        """Write the rows that share their values of these column sets with others, where they are few."""
+        worth = []
+        for y in lists:
+            self.stripped[y] = None
+            if math.prod(self.values[k] for k in bits(y)) * 2 > self.n_rows:
+                worth.append(y)
+        for at in range(0, len(worth), BATCH):
+            batch = worth[at : at + BATCH]
+            spread = F.explode(F.array(*[F.struct(F.lit(j).alias("y"), _key(y, self.nulls)[0].alias("k1")) for j, y in enumerate(batch)])).alias("s")
+            groups = self.codes.select(spread).select("s.*").where("k1 is not null").groupBy("y", "k1").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+            groups = materialize(groups, "groups")
+            sizes = {r["y"]: (r["rows"], r["groups"]) for r in groups.groupBy("y").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("groups")).collect()}
+            few = [j for j in range(len(batch)) if sizes.get(j, (0, 0))[0] * SHARE <= self.n_rows]
+            total = sum(sizes.get(j, (0, 0))[1] for j in few)
+            wanted = groups.where(F.col("y").isin(few)).select("y", "k1")
+            wanted = F.broadcast(wanted) if total <= FEW_GROUPS else wanted  # two numbers each
+            rows = materialize(self.codes.select("*", spread).select(*self.names, "s.*").join(wanted, ["y", "k1"]).select("y", *self.names), "stripped")
+            for j in few:
+                self.stripped[batch[j]] = rows.where(F.col("y") == j).drop("y") if j in sizes else rows.limit(0).drop("y")
+
+    def refuted(self, candidates: dict[int, int], witnesses: dict[int, list[tuple[int, int]]] | None = None) -> dict[int, int]:
+        """Of candidates (mask of the left side -> mask of right sides): the right sides that don't hold.
+
+        `witnesses`, if given, gets for refuted left sides some clashing groups: a right side and a hash of the key.
+        """
+        out = dict.fromkeys(candidates, 0)
+        if self.n_rows <= 1:
+            return out
+        if not self.values and any(x.bit_count() > 1 for x in candidates):
+            counts = self.codes.agg(*[F.approx_count_distinct(c, 0.1) for c in self.names]).first()
+            self.values = {int(c[1:]): counts[k] for k, c in enumerate(self.names)}
+        bases = {x: self._base(x) for x in candidates if x.bit_count() > 1}
+        self._strip(sorted({y for y in bases.values() if y not in self.stripped}))
+        by_table: dict[int, list[int]] = {}
+        for x in sorted(candidates):
+            by_table.setdefault(bases[x] if x in bases and self.stripped[bases[x]] is not None else -1, []).append(x)
+        jobs = [(lists[at : at + BATCH], y) for y, lists in by_table.items() for at in range(0, len(lists), BATCH)]
+        few = [(lists, y) for lists, y in jobs if y >= 0]
+        for some in ([few[at : at + BATCH] for at in range(0, len(few), BATCH)]) + [[job] for job in jobs if job[1] < 0]:
+            rows, batch = [], [x for lists, _ in some for x in lists]
+            rights = sorted({a for x in batch for a in bits(candidates[x])})
+            for lists, y in some:
+                sides = [F.struct(F.lit(batch.index(x)).alias("x"), *[k.alias(f"k{j}") for j, k in enumerate(_key(x, self.nulls), 1)]) for x in lists]
+                table = self.codes if y < 0 else self.stripped[y]
+                rows.append(table.select(F.explode(F.array(*sides)).alias("s"), *[f"c{a}" for a in rights]).where("s.k1 is not null").select("s.*", *[f"c{a}" for a in rights]))
+            for x, bad, groups in _clashes(reduce(DataFrame.unionAll, rows), batch, rights, candidates, self.nulls):
+                out[x] |= bad
+                if witnesses is not None:
+                    witnesses.setdefault(x, []).extend(groups)
+        return out
+
+
+def _key(x: int, nulls: bool) -> tuple[Column, Column]:
+    """Two hashes of a row's codes in the columns of a mask; null where one of them is."""
+    k1, k2 = key(list(bits(x)))
+    for k in bits(x) if nulls else ():
+        k1 = F.when(F.col(f"c{k}").isNotNull(), k1)
+    return k1, k2
+
+
+def _clashes(rows: DataFrame, batch: list[int], rights: list[int], candidates: dict[int, int], nulls: bool) -> Iterable[tuple[int, int, set[tuple[int, int]]]]:
+    """Each left side with its refuted right sides, and the groups that refute them with the least and the largest key.
+
+    Of rows (number of the left side, key, codes), groups are reduced to the least and largest code of each right side
+    before the shuffle, and only one row for each left side comes back. A null code on the right differs from any
+    other row's; without null codes (nulls=False) none is looked for.
+    """
+    aggs = [f(f"c{a}").alias(f"{v}{a}") for a in rights for f, v in ((F.min, "p"), (F.max, "q"))]
+    if nulls:
+        aggs += [F.count(F.lit(1)).alias("n"), *[F.count(f"c{a}").alias(f"n{a}") for a in rights]]
+    clash = lambda a: F.coalesce((F.col(f"p{a}") != F.col(f"q{a}")) | ((F.col(f"n{a}") < F.col("n")) & (F.col("n") > 1) if nulls else F.lit(False)), F.lit(False))
+    ends = [f(F.when(clash(a), F.col("k1"))).alias(f"{v}{a}") for a in rights for f, v in ((F.min, "u"), (F.max, "v"))]
+    for row in rows.groupBy("x", "k1", "k2").agg(*aggs).groupBy("x").agg(*ends).collect():  # one row for each left side
+        x = batch[row["x"]]
+        bad = sum(1 << a for a in rights if row[f"u{a}"] is not None) & candidates[x]
+        yield x, bad, {(a, row[f"{v}{a}"]) for a in bits(bad) for v in "uv"}
+
+
+def refuted(codes: DataFrame, candidates: dict[int, int], n_rows: int, nulls: bool = True) -> dict[int, int]:
+    """Of candidates (mask of the left side -> mask of right sides): the right sides that don't hold."""
+    return Checker(codes, n_rows, nulls).refuted(candidates)
 
 
 def check_fd(df: DataFrame, lhs: Sequence[str], rhs: str, null_equals_null: bool = True, compare_as_string: bool = False) -> bool:
@@ -90,24 +159,22 @@ def validate(df: DataFrame, candidates: Iterable[tuple[Sequence[str], str]], nul
     return spark.createDataFrame(rows, "lhs array<string>, rhs string, holds boolean")
 
 
-def clash_masks(codes: DataFrame, candidates: dict[int, int], n: int, keys_each: int = 8) -> DataFrame:
-    """Agree masks of pairs of rows that refute candidates: of some clashing groups of each, the rows at both ends.
+def witness_masks(codes: DataFrame, witnesses: dict[int, list[tuple[int, int]]], n: int) -> set[int]:
+    """What pairs of rows that clash agree on: of each group in `witnesses`, the rows at both ends of the right side.
 
-    These are hints for what to try next, and any number of them will do.
+    The groups are two for each refuted candidate at most, so they are sent to all tasks; one scan finds the rows.
     """
-    from lodestar.functions.encoding import agree_mask
+    from lodestar.functions.encoding import agree_mask, mask_of
 
-    out = None
+    lists = sorted(x for x, groups in witnesses.items() if groups)
+    out: set[int] = set()
     everything = F.struct(*[F.col(f"c{k}") for k in range(n)])
-    for x, rights in sorted(candidates.items())[:BATCH]:
-        a = next(bits(rights), None)
-        if a is None:
-            continue
-        whole = codes
-        for k in bits(x):
-            whole = whole.where(F.col(f"c{k}").isNotNull())
-        order = F.coalesce(F.col(f"c{a}"), F.lit(0))
-        groups = whole.groupBy(*key(list(bits(x)))).agg(F.min_by(everything, order).alias("l"), F.max_by(everything, order).alias("r"))
-        pairs = groups.where(~F.col(f"l.c{a}").eqNullSafe(F.col(f"r.c{a}"))).limit(keys_each).select(agree_mask("l.", "r.", n).alias("mask"))
-        out = pairs if out is None else out.union(pairs)
-    return out.distinct()
+    for at in range(0, len(lists), BATCH):
+        batch = lists[at : at + BATCH]
+        wanted = codes.sparkSession.createDataFrame([(j, k1, a) for j, x in enumerate(batch) for a, k1 in witnesses[x]], "x int, k1 long, a int")
+        sides = [codes.select(everything.alias("row"), F.lit(j).alias("x"), key(list(bits(x)))[0].alias("k1")) for j, x in enumerate(batch)]
+        rows = reduce(DataFrame.unionAll, sides).join(F.broadcast(wanted), ["x", "k1"])
+        order = F.coalesce(F.get(F.array(*[F.col(f"row.c{k}") for k in range(n)]), F.col("a")), F.lit(0))
+        pairs = rows.groupBy("x", "k1", "a").agg(F.min_by("row", order).alias("l"), F.max_by("row", order).alias("r"))
+        out |= {mask_of(r[0]) for r in pairs.select(agree_mask("l.", "r.", n).alias("mask")).distinct().collect()}  # sets of columns
+    return out

@@ -28,6 +28,22 @@ def scratch_root(spark: SparkSession) -> str:
     return f"file://{root}"
 
 
+#: Tables written by this process, by application, for `release`.
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the scratch tables that this process has written for this application; how many there were.
+
+    Results that were not yet read or written rest on them, so call it when these are done with.
+    """
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return len(paths)
+
+
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -38,6 +54,7 @@ def materialize(df: DataFrame, label: str = "table", batch_rows: int | None = No
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     before = spark.conf.get(_BATCH)
     if batch_rows:
         spark.conf.set(_BATCH, batch_rows)

@@ -182,7 +182,7 @@ _WINDOW = " UNION ALL ".join(f"SELECT {j} AS k, {d} AS distance, c0, c1, c2, LEA
 
 @register("cluster_windows_lineitem", f"WITH t AS ({_CODED}) SELECT CAST(CASE WHEN c0 = o0 THEN 1 ELSE 0 END + CASE WHEN c1 = o1 THEN 2 ELSE 0 END + CASE WHEN c2 = o2 THEN 4 ELSE 0 END AS BIGINT) AS mask, k, distance, COUNT(*) AS n_pairs FROM ({_WINDOW}) WHERE o0 IS NOT NULL GROUP BY ALL")
 def _cluster_windows(spark: SparkSession, d: str) -> DataFrame:
-    """Fixed distances within the clusters of each column; sizes here are far from where a cluster is divided."""
+    """Fixed distances within the clusters of each column; large clusters are divided, which changes no pair."""
     found = agree.cluster_windows(coded(spark, d), (1, 2))
     return found.groupBy(F.element_at("mask", 1).alias("mask"), "k", "distance").agg(F.count(F.lit(1)).alias("n_pairs"))
 

@@ -140,7 +140,7 @@ def test_agree_sets_and_maximal_sets(spark):
         first = rowed.agg(F.min("id")).first()[0]
         for some in (agree.cluster_windows(codes, (1, 2, 3)), agree.small_clusters(rowed), agree.tops_and_bottoms(rowed), agree.pivot_masks(rowed, first), agree.record_windows(rowed, 5)):
             assert agree.masks(some) <= exact
-        assert agree.progressive_windows(codes) <= exact
+        assert set() < agree.progressive_windows(codes) <= exact
         assert agree.masks(agree.new_masks(agree.all_pairs(codes), exact, spark)) == set()
     with pytest.raises(ValueError):
         agree.all_pairs(validate.encode(df), max_rows=3)
@@ -196,3 +196,79 @@ def test_entry_and_registry(spark):
 
     assert entry.entry(spark).count() == 12
     assert {q for q in entry.queries() if not q.startswith("op") and q != "pipeline"} == {q for q in entry.oracle_sql() if not q.startswith("op")}
+
+
+def test_divided_clusters_keep_all_pairs(spark, monkeypatch):
+    """Clusters far over the limit give the pairs that SQL gives, across the bounds of their parts, too."""
+    import duckdb
+
+    from lodestar import queries
+
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{SF_SMALL}/lineitem.parquet'")
+    expected = sorted(db.execute(f"SELECT mask, k, distance, n_pairs FROM ({queries.ORACLE_SQL['cluster_windows_lineitem']})").fetchall())
+    for limit in (400, 150):
+        monkeypatch.setattr(agree, "CLUSTER_ROWS", limit)
+        assert sorted(tuple(r) for r in queries.QUERIES["cluster_windows_lineitem"](spark, SF_SMALL).select("mask", "k", "distance", "n_pairs").collect()) == expected
+
+
+def test_sampler_finds_masks_and_resumes(spark, monkeypatch):
+    r = random.Random(5)
+    rows = [tuple(str(int(r.paretovariate(0.6)) % (4 + 5 * k)) for k in range(6)) for _ in range(400)]
+    codes = validate.encode(from_rows(spark, list("abcdef"), rows))
+    exact = agree_sets(rows)
+    sampler = agree.Sampler(codes, len(rows), threshold=0.05)
+    first, rounds = set(sampler.run()), dict(sampler.round)
+    assert first and first <= exact and any(v < len(agree.ROUNDS) for v in rounds.values())
+    sampler.threshold = 0.002
+    second = sampler.run()
+    assert sampler.runs == 2 and first <= second <= exact and any(sampler.round[k] > rounds[k] for k in rounds)
+    monkeypatch.setattr(agree, "SAMPLE_ROWS", 100)
+    monkeypatch.setattr(agree, "SAMPLE_CLUSTERS", 2)
+    some = agree.Sampler(codes, len(rows))
+    assert 0 < some.long.count() < 6 * len(set(rows)) and some.run() <= exact
+
+
+def test_discovery_resumes_its_sampler(spark, monkeypatch):
+    """A poor first sample leaves wrong candidates; the level that refutes them resumes the sampler and looks at clashes."""
+    from lodestar.operators import discover as module
+
+    r = random.Random(11)
+    names = list("abcdefg")
+    rows = [tuple(str(r.randrange(3 + k)) for k in range(7)) for _ in range(150)]
+    runs, found_masks = [], []
+
+    class Poor(agree.Sampler):
+        def run(self):
+            runs.append(self.threshold)
+            return super().run() if len(runs) > 1 else set()
+
+    witness = module.witness_masks
+    monkeypatch.setattr(agree, "Sampler", Poor)
+    monkeypatch.setattr(module, "witness_masks", lambda *a: found_masks.append(witness(*a)) or found_masks[-1])
+    assert found(from_rows(spark, names, rows)) == minimal_fds(names, rows)
+    assert len(runs) > 1 and found_masks and found_masks[0] and set().union(*found_masks) <= agree_sets(rows)
+
+
+@pytest.mark.parametrize("equal", [True, False])
+def test_checks_on_stripped_partitions(spark, monkeypatch, equal):
+    """Few groups or many, broadcast or not: the same answer as the definition's."""
+    r = random.Random(2)
+    rows = [tuple(None if r.random() < 0.03 else str(r.randrange(m)) for m in (40, 30, 4, 3, 2)) for _ in range(150)]
+    codes, pairs = validate.encode(from_rows(spark, list("abcde"), rows), None, equal), agree_sets(rows, equal)
+    candidates = {x: ((1 << 5) - 1) & ~x for x in range(31)}
+    expected = {x: sum(1 << a for a in range(5) if not x >> a & 1 and any(x & ~m == 0 and not m >> a & 1 for m in pairs)) for x in candidates}
+    for few in (0, 500_000):
+        monkeypatch.setattr(validate, "FEW_GROUPS", few)
+        checker = validate.Checker(codes, len(rows), not equal)
+        assert checker.refuted(candidates) == expected and any(t is not None for t in checker.stripped.values())
+
+
+def test_scratch_tables_can_be_released(spark):
+    from lodestar.plans.scratch import materialize, release
+
+    release(spark)
+    df = materialize(spark.range(5), "some")
+    assert df.count() == 5 and release(spark) == 1 and release(spark) == 0
+    with pytest.raises(Exception, match="(?i)exist|not.found"):
+        df.count()
