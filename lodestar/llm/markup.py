@@ -1,16 +1,18 @@
 """HTML to text as it is laid out: a tree builder with implied tags, visibility rules and a block layout.
 
-All visible text is emitted, but the options of `select`. White space collapses but in `pre`, `xmp` and `textarea`; blocks start on a new line, those with
-margins after an empty line; list items get a mark and an indent; the cells of a table's columns are padded to one
-width. Only elements whose layout needs their own lines (items, quotes, cells) hold them apart, so time and memory
-follow the page, whatever its nesting.
+All visible text is emitted, but the options of `select`. White space collapses but in `pre`, `xmp` and `textarea`; blocks
+start on a new line, those with margins after an empty line; list items get a mark and an indent; the cells of a table's
+columns are padded to one width, of MAX_PAD characters at most: a longer cell stands whole and moves what follows it in
+its row. Only elements whose layout needs their own lines (items, quotes, cells) hold them apart, up to MAX_NEST of them
+in each other, beyond which they are plain blocks; so time and memory follow the page, whatever its nesting.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,8 +42,8 @@ ENDS = {
 ENDS["thead"] = ENDS["tfoot"] = ENDS["tbody"]
 #: Elements that an end tag of another kind doesn't reach through.
 SCOPE = frozenset({"table", "td", "th", "caption", "template"})
-#: A cell's padding ends here, so that one long cell doesn't widen all rows.
-MAX_PAD = 80
+#: A cell's padding ends here, so that one long cell doesn't widen all rows; and so many elements indent each other.
+MAX_PAD, MAX_NEST = 80, 32
 INDENT = "  "
 
 _NAME = re.compile(r"[A-Za-z][^\s/>]*")
@@ -87,12 +89,12 @@ class _Lines:
 class _Open:
     """An open element; `own` are the lines that it holds apart."""
 
-    __slots__ = ("tag", "unseen", "drawn", "hidden", "own", "mark", "number", "rows", "span", "pre")
+    __slots__ = ("tag", "unseen", "drawn", "hidden", "own", "mark", "number", "rows", "span", "down", "pre")
 
     def __init__(self, tag: str, unseen: bool, drawn: bool, own: _Lines | None, pre: bool) -> None:
         self.tag, self.unseen, self.drawn, self.own, self.pre = tag, unseen, drawn, own, pre
         self.hidden = unseen or drawn
-        self.mark, self.number, self.rows, self.span = "", 0, [], 1
+        self.mark, self.number, self.rows, self.span, self.down = "", 0, [], 1, 1
 
 
 class Page:
@@ -102,6 +104,7 @@ class Page:
         self.out = _Lines()
         self.stack = [_Open("", False, False, self.out, False)]
         self.counts: dict[str, int] = {}
+        self.depths: dict[str, list[int]] = {}
         self.writers = [self.out]
 
     def text(self, s: str) -> None:
@@ -142,35 +145,41 @@ class Page:
                 self.writers[-1].block(False)
             if tag in BLOCK:
                 self.writers[-1].block(tag in MARGIN and not (tag in ("ul", "ol") and self.counts.get("li")))
-            if tag in ("li", "blockquote", "td", "th", "dd"):
+            if tag in ("li", "blockquote", "td", "th", "dd") and len(self.writers) <= MAX_NEST:
                 e.own = _Lines()
                 self.writers.append(e.own)
             if tag == "li":
-                owner = next((x for x in reversed(self.stack) if x.tag in ("ol", "ul", "menu", "dir")), None)
-                if owner is not None and owner.tag == "ol":
+                owner = self.stack[self.innermost(("ol", "ul", "menu", "dir"))]
+                if owner.tag == "ol":
                     owner.number = int(found["value"]) if found.get("value", "").lstrip("-").isdecimal() and len(found["value"]) < 10 else owner.number + 1
                     e.mark = f"{owner.number}. "
                 else:
                     e.mark = "* "
+                if e.own is None:
+                    self.writers[-1].inline.append(e.mark)
             elif tag == "ol" and found.get("start", "").lstrip("-").isdecimal() and len(found["start"]) < 10:
                 e.number = int(found["start"]) - 1
             elif tag in ("td", "th"):
-                e.span = int(found["colspan"]) if re.fullmatch("[0-9]{1,3}", found.get("colspan", "")) else 1
+                e.span, e.down = (max(1, int(found[a])) if re.fullmatch("[0-9]{1,3}", found.get(a, "")) else 1 for a in ("colspan", "rowspan"))
+        self.depths.setdefault(tag, []).append(len(self.stack))
         self.stack.append(e)
         self.counts[tag] = self.counts.get(tag, 0) + 1
 
+    def innermost(self, tags: Iterable[str]) -> int:
+        """The depth of the innermost open element of tags, 0 if there is none."""
+        return max((d[-1] for t in tags if (d := self.depths.get(t))), default=0)
+
     def close_upto(self, tags: frozenset[str], bound: frozenset[str]) -> None:
-        """Close the elements down to the outermost of tags that is above the first of bound."""
-        if not any(self.counts.get(t) for t in tags):
-            return
-        at = 0
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k].tag in tags:
-                at = k
-                if len(tags) == 1:
-                    break
-            if self.stack[k].tag in bound:
-                break
+        """Close the elements down to the outermost of tags that is not below the innermost of bound; of one tag, to its innermost.
+
+        Depths at which a tag is open are kept in order, so a step costs no more than the kinds of tags it asks for.
+        """
+        floor = self.innermost(bound)
+        if len(tags) == 1:
+            at = self.innermost(tags)
+            at = at if at >= floor else 0
+        else:
+            at = min((d[bisect_left(d, floor)] for t in tags if (d := self.depths.get(t)) and d[-1] >= floor), default=0)
         while at and len(self.stack) > at:
             self.close()
 
@@ -186,6 +195,7 @@ class Page:
     def close(self) -> None:
         e = self.stack.pop()
         self.counts[e.tag] -= 1
+        self.depths[e.tag].pop()
         if e.hidden:
             return
         if e.tag in LABELS and self.counts.get("svg"):
@@ -194,15 +204,15 @@ class Page:
             e.own.flush()
             self.writers.pop()
             if e.tag in ("td", "th"):
-                row = next((x for x in reversed(self.stack) if x.tag in ("tr", "table")), None)
-                if row is not None:
-                    row.rows.append((e.own.lines, e.span))
+                row = self.stack[self.innermost(("tr", "table"))]
+                if row.tag:
+                    row.rows.append((e.own.lines, e.span, e.down))
                     return
             pad = len(e.mark) if e.tag == "li" else len(INDENT)
             self.writers[-1].take([(e.mark if e.tag == "li" and not k else " " * pad if line else "") + line for k, line in enumerate(e.own.lines)])
         elif e.tag == "tr":
-            table = next((x for x in reversed(self.stack) if x.tag == "table"), None)
-            if table is not None:
+            table = self.stack[self.innermost(("table",))]
+            if table.tag:
                 table.rows.append(e.rows)
             else:
                 self.writers[-1].take(_aligned([e.rows]))
@@ -219,23 +229,35 @@ class Page:
         return "\n".join(self.out.lines)
 
 
-def _aligned(rows: list[list[tuple[list[str], int]]]) -> list[str]:
-    """The lines of a table: cells padded to their column's width, two spaces apart; a cell over columns pads none."""
+def _aligned(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """The lines of a table: cells padded to their column's width, two spaces apart; a cell over columns widens none.
+
+    A cell over several rows keeps its columns free in those below it.
+    """
     width: dict[int, int] = {}
+    taken: dict[int, int] = {}
+    placed: list[list[tuple[int, list[str], int]]] = []
     for row in rows:
-        at = 0
-        for lines, span in row:
+        at, cells, below = 0, [], {}
+        for lines, span, down in row:
+            while taken.get(at):
+                at += 1
             if span == 1:
                 width[at] = max(width.get(at, 0), min(MAX_PAD, max(map(len, lines), default=0)))
-            at += max(1, span)
+            cells.append((at, lines, span))
+            if down > 1:
+                below |= dict.fromkeys(range(at, at + span), down)
+            at += span
+        taken = {c: n - 1 for c, n in (taken | below).items() if n > 1}
+        placed.append(cells)
     out = []
-    for row in rows:
-        for k in range(max((len(lines) for lines, _ in row), default=0)):
-            parts, at = [], 0
-            for lines, span in row:
-                room = sum(width.get(c, 0) + 2 for c in range(at, at + max(1, span))) - 2
-                parts.append((lines[k] if k < len(lines) else "").ljust(room))
-                at += max(1, span)
+    for cells in placed:
+        for k in range(max((len(lines) for _, lines, _ in cells), default=0)):
+            parts, now = [], 0
+            for at, lines, span in cells:
+                parts += ["".ljust(width.get(c, 0)) for c in range(now, at)]
+                parts.append((lines[k] if k < len(lines) else "").ljust(sum(width.get(c, 0) + 2 for c in range(at, at + span)) - 2))
+                now = at + span
             out.append("  ".join(parts).rstrip())
     return out
 
@@ -303,7 +325,11 @@ def _rendered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """Per row: the id and `text`. A null or empty page gives an empty text; repeated rows are repeated."""
+    """Per row: the id and `text`. A null or empty page gives an empty text; repeated rows are repeated.
+
+    An empty table gives no rows, and a page may be as long as a row can be; other columns are left out, so that no name
+    clashes.
+    """
     key = pages.schema[id_col].dataType.simpleString()
     df = pages.select(F.col(f"`{id_col}`").alias("k"), F.col(f"`{html_col}`").alias("t"))
     return df.mapInArrow(_rendered, f"k {key}, t string").toDF(id_col, "text")

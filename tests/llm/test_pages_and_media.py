@@ -180,3 +180,139 @@ def test_smaller_ids_with_the_same_integers_hide_no_alignment(spark, monkeypatch
 )
 def test_formulas_labels_listings_and_fallbacks_show(page, text):
     assert render(page) == text
+
+
+INLINE = ("b", "i")
+
+
+def random_tree(r, depth, inside=None):
+    """Children: strings, ("br",) or (tag, children); tables have rows of cells."""
+    out = []
+    for _ in range(r.randrange(1, 4)):
+        kind = r.choice(["text", "text", "b", "br"] + (["div", "p", "ul", "ol", "table", "blockquote", "hidden", "pre"] if depth else []))
+        if kind == "text":
+            out.append(r.choice(["one", " two  three", "four ", "\n five\n", "&amp;six"]))
+        elif kind == "br":
+            out.append(("br", []))
+        elif kind == "b":
+            out.append(("b", [r.choice(["bold", " b c "])]))
+        elif kind == "p":
+            out.append(("p", [r.choice(["para", "para graph "]), ("b", ["x"])]))
+        elif kind in ("ul", "ol"):
+            out.append((kind, [("li", random_tree(r, depth - 1)) for _ in range(r.randrange(1, 4))]))
+        elif kind == "table":
+            out.append((kind, [("tr", [(r.choice(["td", "th"]), random_tree(r, 0)) for _ in range(r.randrange(1, 4))]) for _ in range(r.randrange(1, 4))]))
+        elif kind == "pre":
+            out.append((kind, ["a  b\n  c"]))
+        else:
+            out.append((kind, random_tree(r, depth - 1)))
+    return out
+
+
+def markup_of(nodes, r=None):
+    """As HTML; with r, end tags that may be left out are left out at random."""
+    out = ""
+    for k, node in enumerate(nodes):
+        if isinstance(node, str):
+            out += node
+            continue
+        tag, kids = node
+        if tag == "br":
+            out += "<br>"
+        elif tag == "hidden":
+            out += f"<div hidden>{markup_of(kids, r)}</div>"
+        else:
+            after = nodes[k + 1] if k + 1 < len(nodes) else None
+            last = after is None or (not isinstance(after, str) and after[0] in ("p", "div", "ul", "ol", "table", "pre", "blockquote"))
+            bare = r is not None and r.random() < 0.7 and (tag in ("li", "tr", "td", "th") or (tag == "p" and after is not None and last))
+            out += f"<{tag}>{markup_of(kids, r)}" + ("" if bare else f"</{tag}>")
+    return out
+
+
+def plain_layout(nodes, items=False):
+    """Lines of a container, by the rules: one walk over its tree, cells and items by themselves."""
+    lines, inline, gap = [], [""], [False]
+
+    def put(line, blank_too=False):
+        if line or blank_too:
+            if gap[0] and lines:
+                lines.append("")
+            lines.append(line)
+            gap[0] = False
+
+    def flush():
+        for line in inline[0].split("\n"):
+            put(" ".join(line.split()))
+        inline[0] = ""
+
+    def edge(margin):
+        flush()
+        gap[0] |= margin
+
+    def walk(nodes, nested):
+        number = 0
+        for node in nodes:
+            if isinstance(node, str):
+                inline[0] += node.replace("\n", " ").replace("&amp;", "&")
+                continue
+            tag, kids = node
+            if tag == "br":
+                inline[0] += "\n"
+            elif tag == "b":
+                walk(kids, nested)
+            elif tag == "hidden":
+                pass
+            else:
+                margin = tag in ("p", "ul", "ol", "table", "blockquote", "pre") and not (tag in ("ul", "ol") and nested)
+                edge(margin)
+                if tag == "pre":
+                    for line in kids[0].split("\n"):
+                        put(line, True)
+                elif tag in ("ul", "ol"):
+                    for _, item in kids:
+                        number += 1
+                        mark = "* " if tag == "ul" else f"{number}. "
+                        edge(False)
+                        for k, line in enumerate(plain_layout(item, True)):
+                            put((mark if not k else " " * len(mark) if line else "") + line, True)
+                    number = 0
+                elif tag == "table":
+                    rows = [[plain_layout(cell, nested) for _, cell in row] for _, row in kids]
+                    wide = [max((len(x) for row in rows if c < len(row) for x in row[c]), default=0) for c in range(max(map(len, rows)))]
+                    for row in rows:
+                        for k in range(max((len(c) for c in row), default=0)):
+                            put("  ".join((c[k] if k < len(c) else "").ljust(wide[j]) for j, c in enumerate(row)).rstrip(), True)
+                elif tag == "blockquote":
+                    for line in plain_layout(kids, nested):
+                        put("  " + line if line else "", True)
+                else:
+                    walk(kids, nested)
+                edge(margin)
+
+    walk(nodes, items)
+    flush()
+    return lines
+
+
+def test_layout_against_a_plain_version():
+    r = random.Random(6)
+    for _ in range(1500):
+        tree = random_tree(r, 3)
+        expected = "\n".join(plain_layout(tree))
+        assert render(markup_of(tree)) == expected, markup_of(tree)
+        assert render(markup_of(tree, r)) == expected
+
+
+@pytest.mark.parametrize("start", ["<p><button>" + "<div>" * 40_000, "<li>" * 40_000, "<ul><li>x" * 20_000, "<table><tr><td>x" * 20_000, "<blockquote>x" * 40_000, "<dl><dt>" * 30_000 + "<dd>x"])
+def test_deep_pages_take_time_in_proportion(start):
+    import time
+
+    began = time.time()
+    text = render(start + "end")
+    assert time.time() - began < 20 and text.endswith("end") and len(text) < 100 * len(start)
+
+
+def test_cells_over_rows_and_long_cells():
+    page = "<table><tr><td rowspan=2>a<td>b<td>c<tr><td>dd<td>e<tr><td>f<td>g<td>h</table>"
+    assert render(page) == "a  b   c\n   dd  e\nf  g   h"
+    assert render(f"<table><tr><td>{'x' * 100}<td>b<tr><td>y<td>c</table>") == f"{'x' * 100}  b\ny{' ' * 81}c"
