@@ -193,3 +193,19 @@ def test_neighbours_are_ranked_by_all_terms():
         plain = np.array([0 if used[k] else sum(idf[t] * c * (packing.K1 + 1) / (c + packing.K1) for t in set(docs[seed].tolist()) if (c := int((d == t).sum()))) for k, d in enumerate(docs)])
         got = index.ranked(seed, used)
         assert sorted(got) == np.flatnonzero(plain).tolist() and np.allclose(plain[got], np.sort(plain[plain > 0])[::-1], atol=1e-4)
+
+
+def test_arcs_are_what_the_merges_leave(word_bpe, library):
+    """The compiled table against the merges replayed on pairs of tokens; every prefix of a word has one path."""
+    auto = bpe.tokenizer(word_bpe).automaton
+    r, tokens = random.Random(7), list(auto.tokens.items())
+    inner = [t for t in tokens if not t[0].endswith("")]
+    pairs = [(r.choice(inner)[1], r.choice(tokens)[1]) for _ in range(3000)] + [(u, v) for u, v in list(auto.rank)[::40] if u in auto.spelled and v in auto.spelled]
+    plain = [auto._meet(t, u) and (t, u) not in auto.rank for t, u in pairs]
+    assert auto.have_arcs(*(np.array(x) for x in zip(*pairs, strict=True))).tolist() == plain and 0 < sum(plain) < len(plain)
+    words = ["".join(r.choice("etaoinshrdluaaee") for _ in range(r.randrange(1, 30))) for _ in range(400)] + ["x" * 3000, "ab" * 60, "é", ""]
+    words = [w for w in words if w]
+    letters = [p for w in words for p, _ in library.pre_tokenizer.pre_tokenize_str(w)]
+    got = auto.encode_all(letters)
+    assert got == [auto.encode(x) for x in letters] == [library.encode(w, add_special_tokens=False).ids for w in words]
+    assert auto.encode_all([]) == []
