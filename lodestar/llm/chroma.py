@@ -167,13 +167,15 @@ def align(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
     stands if it has MIN_VOTES and at most MAX_ERRORS of 100 bits differ over the overlap; the alignment is the one with
     the most votes, then the smallest id and offset, and null if none stands. `votes` counts those of its votes that are
     for the first place of their integer in the table, so it may be 0. Rows that repeat an id share their class's
-    alignment; an empty table gives no rows.
+    alignment if they hold the same integers, and align each by itself if not, but never with each other. Of recordings of
+    one id that tie, the one with the smaller hash of its integers counts. An empty table gives no rows; recordings may be
+    as long as a row can be, and other columns are left out, so that no name clashes.
     """
     found = materialize(fingerprints(media, id_col, media_col), "codes")
     found = found.select("*", F.xxhash64("codes").alias("f1"), F.xxhash64(F.lit(1), "codes").alias("f2"))
     named = found.where(F.col("id").isNotNull() & (F.size("codes") > 0))
     classes = materialize(named.groupBy("f1", "f2").agg(F.min("id").alias("rep")), "classes")
-    reps = named.join(classes.withColumnRenamed("rep", "id"), ["f1", "f2", "id"]).select("id", "codes").dropDuplicates(["id"])
+    reps = named.join(classes.withColumnRenamed("rep", "id"), ["f1", "f2", "id"]).select(F.struct("id", "f1", "f2").alias("id"), "codes").dropDuplicates(["id"])  # rows of one class have equal codes
     steps = F.transform("codes", lambda v, i: F.struct(v.alias("v"), i.alias("at"), F.get("codes", i - 1).alias("last")))
     places = reps.select("id", F.explode(steps).alias("s")).where("s.last is null or s.last <> s.v").select("id", "s.v", "s.at")
     several = places.groupBy("v").agg(F.min(F.struct("id", "at")).alias("f"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where("f.id <> last")
@@ -181,7 +183,7 @@ def align(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
     shared = materialize(places.join(several, "v").select("v", "id", "at", (F.struct("id", "at") == F.col("f")).cast("int").alias("lead"), "parts"), "shared")
     voters = shared.select("v", F.pmod(F.xxhash64("id", "at"), F.col("parts")).cast("int").alias("part"), "id", "at")
     homes = shared.select("v", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("id").alias("ref"), F.col("at").alias("there"), "lead")
-    votes = voters.join(homes, ["v", "part"]).where("ref < id").groupBy("id", "ref", (F.col("at") - F.col("there")).alias("offset")).agg(F.count(F.lit(1)).alias("n"), F.sum("lead").alias("votes"))
+    votes = voters.join(homes, ["v", "part"]).where("ref.id < id.id").groupBy("id", "ref", (F.col("at") - F.col("there")).alias("offset")).agg(F.count(F.lit(1)).alias("n"), F.sum("lead").alias("votes"))
     votes = materialize(votes.where(F.col("n") >= MIN_VOTES), "votes")
     rank = F.struct((-F.col("n")).alias("m"), "ref", "offset", "votes")
 
@@ -194,7 +196,7 @@ def align(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
     peaks = materialize(standing(top), "peaks")
     others = standing(votes.join(peaks, "id", "left_anti"))  # the next ones, where the most votes don't stand
     others = others.groupBy("id").agg(F.min_by(F.struct("ref", "offset", "n", "votes", "overlap", "errors"), rank).alias("b")).select("id", "b.*")
-    peaks = peaks.unionByName(others).select(F.col("id").alias("rep"), "ref", F.col("offset").cast("long").alias("offset"), "votes", "overlap", "errors")
-    out = found.select("id", "frames", F.size("codes").cast("long").alias("n"), F.sha2(F.array_join("codes", " "), 256).alias("sha"), "f1", "f2").join(classes, ["f1", "f2"], "left").join(peaks, "rep", "left")
+    peaks = peaks.unionByName(others).select("id.f1", "id.f2", F.col("ref.id").alias("ref"), F.col("offset").cast("long").alias("offset"), "votes", "overlap", "errors")
+    out = found.select("id", "frames", F.size("codes").cast("long").alias("n"), F.sha2(F.array_join("codes", " "), 256).alias("sha"), "f1", "f2").join(classes, ["f1", "f2"], "left").join(peaks, ["f1", "f2"], "left")
     own = lambda c: F.when(F.col("id").isNotNull(), F.col(c))
     return out.select(F.col("id").alias(id_col), F.col("frames").alias("n_frames"), F.col("n").alias("n_codes"), F.col("sha").alias("codes_sha256"), own("rep").alias("class_id"), own("ref").alias("aligned_to"), own("offset").alias("offset"), own("votes").alias("votes"), own("overlap").alias("overlap"), own("errors").alias("bit_errors"))

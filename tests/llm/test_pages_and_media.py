@@ -316,3 +316,33 @@ def test_cells_over_rows_and_long_cells():
     page = "<table><tr><td rowspan=2>a<td>b<td>c<tr><td>dd<td>e<tr><td>f<td>g<td>h</table>"
     assert render(page) == "a  b   c\n   dd  e\nf  g   h"
     assert render(f"<table><tr><td>{'x' * 100}<td>b<tr><td>y<td>c</table>") == f"{'x' * 100}  b\ny{' ' * 81}c"
+
+
+def test_recordings_of_one_id_are_aligned_each_by_itself(spark):
+    """Id 1 has two recordings; whatever the order of the rows, 3 and 4 align to the one that they hold."""
+    r = np.random.default_rng(12)
+    one, two = melody(r, 1.5).tobytes(), melody(r, 1.5).tobytes()
+    cut = chroma.HOP * 20
+    rows = [(1, one), (1, two), (3, two[cut:]), (4, one[cut:]), (0, melody(r, 0.5).tobytes())]
+    results = set()
+    for order in ([0, 1, 2, 3, 4], [1, 0, 4, 3, 2], [3, 2, 1, 0, 4]):
+        got = chroma.align(spark.createDataFrame([rows[k] for k in order], "id long, m binary").repartition(3), "id", "m").collect()
+        results.add(tuple(sorted(tuple(str(v) for v in x) for x in got)))
+        found = {x["id"]: x for x in got}
+        assert [(found[k]["aligned_to"], found[k]["offset"], found[k]["bit_errors"]) for k in (3, 4)] == [(1, -20, 0)] * 2
+    assert len(results) == 1
+
+
+def test_planted_cuts_are_found(spark):
+    """Cuts of one of 25 recordings, with noise: at least nine of ten align to it at the right offset."""
+    r = np.random.default_rng(21)
+    songs = [melody(r, 2.0) for _ in range(25)]
+    rows = [(k, s.tobytes()) for k, s in enumerate(songs)]
+    planted = {}
+    for k, s in enumerate(songs):
+        a = int(r.integers(10, 100))
+        noisy = np.clip(s[a * chroma.HOP :].astype(int) + r.integers(-2, 3, len(s) - a * chroma.HOP), 0, 255).astype(np.uint8)
+        planted[100 + k] = (k, -a)
+        rows.append((100 + k, noisy.tobytes()))
+    got = {x["id"]: (x["aligned_to"], x["offset"]) for x in chroma.align(spark.createDataFrame(rows, "id long, m binary"), "id", "m").collect()}
+    assert sum(got[k] == v for k, v in planted.items()) >= 0.9 * len(planted)
