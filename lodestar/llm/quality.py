@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import words_of
+from lodestar.llm.common import renamed, words_of
 from lodestar.plans.scratch import materialize
 
 #: Characters that prose hardly uses.
@@ -16,6 +16,8 @@ MAX_REPEATED = 20
 WINDOW = 5
 #: A host is rejected if the shrunk rate of its failing documents is above this.
 MAX_HOST_RATE = 0.5
+#: Bytes of verdicts that are sent to all tasks; and hosts that count as hot have one of so many rows at least.
+FEW_HOSTS, HOT = 16 << 20, 1000
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -71,23 +73,41 @@ def host_verdicts(judged: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFra
     prior = hosts.agg(F.struct(m.alias("m"), F.when(v > 1e-9, F.greatest(F.lit(1.0), F.least(F.lit(1000.0), m * (1 - m) / v - 1))).otherwise(1000.0).alias("s")).alias("p"))
     p = prior.scalar()
     shrunk = (F.col("k") + p["m"] * p["s"]) / (F.col("n") + p["s"])
-    return hosts.select("__host", (shrunk > max_rate).alias("host_rejected"))
+    return hosts.select("__host", "n", (shrunk > max_rate).alias("host_rejected"))
+
+
+def with_verdicts(judged: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:
+    """judged with `host_rejected`. Few hosts are sent to all tasks, and so are, of many, those of one row in HOT or more.
+
+    So no host's rows meet in one task: at most HOT hosts are that frequent, and the rest is joined by host.
+    """
+    verdicts = materialize(host_verdicts(judged, max_rate), "hosts")
+    n, size, rows = verdicts.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("__host")), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if size + 16 * n <= FEW_HOSTS:
+        return judged.join(F.broadcast(verdicts.drop("n")), "__host")
+    hot = F.broadcast(verdicts.where(F.col("n") * HOT >= rows).select("__host", F.col("host_rejected").alias("__v")))
+    marked = judged.join(hot, "__host", "left")
+    rest = marked.where(F.col("__v").isNull()).drop("__v").join(verdicts.where(F.col("n") * HOT < rows).drop("n"), "__host")
+    return rest.unionByName(marked.where(F.col("__v").isNotNull()).withColumnRenamed("__v", "host_rejected"))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
     """Per row of docs: the id, COUNTS, `base_failed`, `host_rejected`, `kept`; plus `__row`, a hash of the text.
 
     The counts are computed once and written, without texts, to the shared folder; hosts are judged on them.
-    Empty tables give no rows; null texts have no words and fail; null hosts are one host.
+    Empty tables give no rows; null texts have no words and fail; null hosts are one host. Each row is judged and counts
+    for its host by itself, also where ids or rows repeat; texts may be as long as a row can be.
     """
     slim = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__t"), host_of(F.col(f"`{host_col}`")).alias("__host"))
     judged = materialize(features(slim, "__t").withColumn("__row", F.xxhash64("__t")).drop("__t"), "quality")
-    out = judged.join(host_verdicts(judged, max_rate), "__host")
+    out = with_verdicts(judged, max_rate)
     return out.select(F.col("__id").alias(id_col), "__row", *COUNTS, "base_failed", "host_rejected", (~F.col("base_failed") & ~F.col("host_rejected")).alias("kept"))
 
 
 def drop_rejected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """The rows of docs that judge() keeps, with the columns they have."""
-    bad = judge(docs, id_col, text_col, host_col, max_rate).where(~F.col("kept")).select(F.col(id_col).alias("__id"), "__row").distinct()
-    keyed = docs.withColumn("__r", F.xxhash64(F.col(f"`{text_col}`")))
-    return keyed.join(bad, keyed[f"`{id_col}`"].eqNullSafe(bad["__id"]) & (keyed["__r"] == bad["__row"]), "left_anti").drop("__r")
+    """The rows of docs that judge() keeps, with the columns they have, of whatever names."""
+    df, names = renamed(docs)
+    key, text, host = (names[docs.columns.index(c)] for c in (id_col, text_col, host_col))
+    bad = judge(df, key, text, host, max_rate).where(~F.col("kept")).select(F.col(key).alias("__id"), "__row").distinct()
+    keyed = df.withColumn("__r", F.xxhash64(text))
+    return keyed.join(bad, keyed[key].eqNullSafe(bad["__id"]) & (keyed["__r"] == bad["__row"]), "left_anti").drop("__r").toDF(*docs.columns)
