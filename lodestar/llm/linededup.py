@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.llm.common import renamed
+
 WINDOW = 3
 
 
@@ -39,19 +41,20 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """docs with the text that is left, and the long columns `n_lines`, `n_removed`, which replace any of that name.
 
     A null text stays null and has no lines; a text whose lines all go becomes empty. Null ids come first. Rows that
-    repeat id and text are one document, so they don't remove each other's lines.
+    repeat id and text are one document, so they don't remove each other's lines. Other columns stay, whatever their
+    names; empty tables give no rows; a text may have as many lines as a row can hold.
     """
-    at = covered(docs, id_col, text_col).select(F.col("__id").alias("__i"), F.col("__row").alias("__r"), "__at")
-    keyed = docs.withColumn("__row", F.xxhash64(F.col(f"`{text_col}`")))
-    df = keyed.join(at, keyed[f"`{id_col}`"].eqNullSafe(at["__i"]) & (keyed["__row"] == at["__r"]), "left").drop("__i", "__r", "__row")
-    df = df.withColumn("__l", F.split(F.col(f"`{text_col}`"), "\n"))
+    df, names = renamed(docs)
+    key, text = (names[docs.columns.index(c)] for c in (id_col, text_col))
+    at = covered(df, key, text).select(F.col("__id").alias("__i"), F.col("__row").alias("__r"), "__at")
+    keyed = df.withColumn("__row", F.xxhash64(text))
+    df = keyed.join(at, keyed[key].eqNullSafe(at["__i"]) & (keyed["__row"] == at["__r"]), "left").drop("__i", "__r", "__row")
+    df = df.withColumn("__l", F.split(text, "\n"))
     gone = F.flatten(F.transform("__at", lambda p: F.sequence(p, p + (WINDOW - 1))))
     df = df.withColumn("__k", F.when(F.col("__at").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("__l") - 1), gone)))
     left = F.array_join(F.transform("__k", lambda i: F.get("__l", i)), "\n")
-    out = {
-        text_col: F.when(F.col("__k").isNull(), F.col(f"`{text_col}`")).otherwise(left),
-        "n_lines": F.when(F.col("__l").isNull(), 0).otherwise(F.size("__l")).cast("long"),
-        "n_removed": F.when(F.col("__k").isNull(), 0).otherwise(F.size("__l") - F.size("__k")).cast("long"),
-    }
-    names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
-    return df.select(*[out[c].alias(c) if c == text_col else df[f"`{c}`"] for c in names], out["n_lines"].alias("n_lines"), out["n_removed"].alias("n_removed"))
+    kept = [(n, c) for n, c in zip(names, docs.columns, strict=True) if c.lower() not in ("n_lines", "n_removed")]
+    n_lines = F.when(F.col("__l").isNull(), 0).otherwise(F.size("__l")).cast("long")
+    n_removed = F.when(F.col("__k").isNull(), 0).otherwise(F.size("__l") - F.size("__k")).cast("long")
+    out = F.when(F.col("__k").isNull(), F.col(text)).otherwise(left)
+    return df.select(*[out if n == text else F.col(n) for n, _ in kept], n_lines, n_removed).toDF(*[c for _, c in kept], "n_lines", "n_removed")

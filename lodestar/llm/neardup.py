@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import BATCH_ROWS
+from lodestar.llm.common import BATCH_ROWS, renamed
 from lodestar.llm.components import components
 from lodestar.llm.shingles import mix, numbers, shingle_sets
 from lodestar.plans.scratch import materialize
@@ -180,7 +180,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Words are lower-cased in A-Z. Null and empty texts have no shingles and no links. Rows without an id are linked
     with nothing: their `component_id` is null and they are kept. Rows that repeat an id are one node. Tables may be
-    empty.
+    empty, and texts as long as a row can be; other columns are left out, so that no name clashes.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("t"))
@@ -237,6 +237,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs whose id is the smallest of its component, and those without an id."""
-    gone = near_duplicates(docs, id_col, text_col, size, percent).where("not kept").select(F.col(id_col).alias("__id")).distinct()
-    return docs.join(gone, docs[f"`{id_col}`"] == gone["__id"], "left_anti")
+    """The rows of docs whose id is the smallest of its component, and those without an id; all columns, of whatever names."""
+    df, names = renamed(docs)
+    key, text = (names[docs.columns.index(c)] for c in (id_col, text_col))
+    gone = near_duplicates(df, key, text, size, percent).where("not kept").select(F.col(key).alias("__id")).distinct()
+    return df.join(gone, df[key] == gone["__id"], "left_anti").toDF(*docs.columns)

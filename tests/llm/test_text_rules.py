@@ -193,3 +193,31 @@ def test_secrets_beside_clashing_names(spark):
     found = secrets.find_secrets(df)
     assert found.columns == [n for n in names if n != "secret_spans"] + ["secret_spans"] and tuple(found.first())[2:6] == ("t", "z", "i", "u")
     assert [tuple(r) for r in secrets.redact_secrets(df).collect()] == [(1, "x [SECRET] y", "t", "z", "i", "s", "u")]
+
+
+def test_names_of_helpers_may_be_columns(spark):
+    names = ["doc_id", "text", "__row", "__r", "__id", "source", "in3", "n_removed"]
+    good = " ".join(map(str, range(30)))
+    df = spark.createDataFrame([(1, good, "a", "b", "c", "s", "d", 5), (2, "short", "a", "b", "c", "s", "d", 5)], names)
+    assert [tuple(x) for x in quality.drop_rejected(df).collect()] == [(1, good, "a", "b", "c", "s", "d", 5)]
+    out = linededup.dedup_lines(df)
+    assert out.columns == [*names[:-1], "n_lines", "n_removed"] and {tuple(x)[2:7] for x in out.collect()} == {("a", "b", "c", "s", "d")}
+
+
+def test_many_hosts_get_the_verdicts_that_few_get(docs_of, by_id, monkeypatch):
+    good = " ".join(map(str, range(30)))
+    rows = [(i, "bad" if i % 3 else good, f"h{i % 7 if i % 2 else 0}") for i in range(120)] + [(500, good, None)]
+    few = by_id(quality.judge(docs_of(rows)))
+    monkeypatch.setattr(quality, "FEW_HOSTS", -1)
+    monkeypatch.setattr(quality, "HOT", 4)
+    assert by_id(quality.judge(docs_of(rows))) == few and len(few) == 121
+
+
+def test_texts_of_a_million_characters(docs_of, by_id):
+    r = random.Random(3)
+    text = "\n".join(" ".join(r.choices("abcdefghij", k=20)) for _ in range(25_000))
+    rows = [(1, text), (2, "x\n" + text[:400_000])]
+    got = by_id(quality.judge(docs_of(rows)))
+    assert [tuple(got[i][c] for c in quality.COUNTS) for i, _ in rows] == [plain_counts(t) for _, t in rows]
+    lines = by_id(linededup.dedup_lines(docs_of(rows)))
+    assert {i: (x["text"], x["n_lines"], x["n_removed"]) for i, x in lines.items()} == plain_line_dedup(rows)
