@@ -1,7 +1,8 @@
 """Lexical retrieval packing: windows are filled with what a sharded BM25 index finds for their first document.
 
-Documents are tokenized once and dealt to shards by a hash of their id, about SHARD_TOKENS tokens each, so no source
-or group of copies meets in one. A shard holds an inverted index of its documents; the weights of terms, which are
+Documents are tokenized once and sorted by a lexical key, least weighted hashes of their distinct terms, so that near
+copies and documents that share rare terms stand close to each other; the order is divided into ranges, and these into
+shards of SHARD_TOKENS tokens, so no shard grows with a group of copies or with the rows that repeat an id. A shard holds an inverted index of its documents; the weights of terms, which are
 token ids, come from their document counts over all documents. A window's seed is what the last window left of a
 document, or else the shard's first unused one; its unused neighbours follow by falling BM25 score, then, where none
 shares a term, by id. The document that reaches the window's end is cut there and seeds the next. What a shard's last
@@ -15,10 +16,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import BATCH_ROWS
+from lodestar.llm.shingles import numbers
 from lodestar.llm.wordids import word_ids
 from lodestar.plans.scratch import materialize
 
@@ -27,25 +30,46 @@ SHARD_TOKENS = 4_000_000
 #: Terms in at least one of so many of a shard's documents have a dense row of weights.
 DENSE = 16
 K1, B = 1.2, 0.75
+#: Hashes in a document's lexical key, the first of which counts most.
+KEYS = 3
 
 
 def _tokenized(path: str, end: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text's ids with `end` behind them, as bytes; and, in a row without a text, how many texts hold each id."""
+    """Each text's ids with `end` behind them, as bytes; and, in a row without a text, how many texts hold each id, as pairs."""
     words = word_ids(path)
     last, width = np.array([end], words.kind).tobytes(), words.kind.itemsize
     seen = np.zeros(words.library.get_vocab_size() + 1, np.int64)
+    ranks = lexical_ranks(len(seen))
     kind = None
     for batch in batches:
         kind = batch.schema.field(0).type
         for at in range(0, batch.num_rows, 1024):
             part = batch.slice(at, 1024)
             ids = [x + last for x in words.encode([t.as_py() or b"" for t in part.column(1)])]
-            for x in ids:
-                seen[np.unique(np.frombuffer(x, words.kind))] += 1
+            keys = np.empty((KEYS, len(ids)), np.int64)
+            for k, x in enumerate(ids):
+                terms = np.unique(np.frombuffer(x, words.kind))
+                seen[terms] += 1
+                keys[:, k] = ranks[:, terms].min(axis=1)
             n = pa.array([len(x) // width for x in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column(0), n, pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.list_(pa.int64())), part.column(2)], names=["k", "n", "ids", "seen", "extra"])
+            yield pa.RecordBatch.from_arrays([part.column(0), n, pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.list_(pa.int64())), part.column(2), *map(pa.array, keys)], names=["k", "n", "ids", "seen", "extra", *(f"l{j}" for j in range(KEYS))])
     if kind is not None:
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.array([-1], pa.int64()), pa.array([b""], pa.binary()), pa.array([seen], pa.list_(pa.int64())), pa.nulls(1, part.column(2).type)], names=["k", "n", "ids", "seen", "extra"])
+        some = np.flatnonzero(seen)
+        counts = np.stack([some, seen[some]], axis=1).ravel()
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.array([-1], pa.int64()), pa.array([b""], pa.binary()), pa.array([counts], pa.list_(pa.int64())), pa.nulls(1, part.column(2).type), *[pa.array([0], pa.int64())] * KEYS], names=["k", "n", "ids", "seen", "extra", *(f"l{j}" for j in range(KEYS))])
+
+
+def lexical_ranks(size: int) -> np.ndarray:
+    """KEYS orders of the terms, each at random but rarer ones first: the least of a document's terms is its hash.
+
+    A term's rank is that of an exponential variable over its weight, the logarithm of its id, as merges are learned from
+    the frequent to the rare. Two documents have the same least term with a chance of their weighted similarity.
+    """
+    out = np.empty((KEYS, size), np.int64)
+    for j in range(KEYS):
+        u = ((numbers(size, 41 + j) >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
+        out[j, np.argsort(-np.log(u) / np.log(np.arange(size) + 2.0), kind="stable")] = np.arange(size)
+    return out
 
 
 class _Index:
@@ -126,8 +150,8 @@ def windows(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int =
         yield out
 
 
-def _packed(width: np.dtype, idf: np.ndarray, mean: float, window: int, digests: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (shard, id, ids, extra) sorted by shard and id: the pieces of each shard's sequences."""
+def _packed(width: np.dtype, idf: np.ndarray, mean: float, window: int, most: int, digests: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (id, ids, extra) in lexical order: the pieces of each shard's sequences."""
 
     def shard(number: int, keys: list, docs: list[bytes], extras: list, kinds: list) -> pa.RecordBatch:
         arrays = [np.frombuffer(d, width) for d in docs]
@@ -142,19 +166,19 @@ def _packed(width: np.dtype, idf: np.ndarray, mean: float, window: int, digests:
         types = [kinds[0], *[pa.int64()] * 2, pa.int64() if digests else pa.binary(), *[pa.int64()] * 3, kinds[1]]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["k", "start", "length", "ids", "n", "s", "o", "extra"])
 
-    now, keys, docs, extras, kinds = None, [], [], [], None
+    part, number, size, keys, docs, extras, kinds = TaskContext.get().partitionId() << 12, 0, 0, [], [], [], None
     for batch in batches:
-        kinds = [batch.schema.field(1).type, batch.schema.field(3).type]
-        for s, k, d, e in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if s != now and docs:
-                yield shard(now, keys, docs, extras, kinds)
-                keys, docs, extras = [], [], []
-            now = s
+        kinds = [batch.schema.field(0).type, batch.schema.field(2).type]
+        for k, d, e in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             keys.append(k)
             docs.append(d)
             extras.append(e)
+            size += len(d) // width.itemsize
+            if size >= most:
+                yield shard(part + number, keys, docs, extras, kinds)
+                number, size, keys, docs, extras = number + 1, 0, [], [], []
     if docs:
-        yield shard(now, keys, docs, extras, kinds)
+        yield shard(part + number, keys, docs, extras, kinds)
 
 
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", extra_col: str | None = None, window: int = WINDOW, end: int = 1, digests: bool = False) -> DataFrame:
@@ -163,23 +187,24 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     A document's ids are those of its whole text, then `end`; a null text counts as empty, so it has one id. With
     digests there is `ids_crc32` for `ids`. `extra_col` is handed on with each piece. Rows that repeat an id, or have
     none, are packed each by itself; an empty table gives no pieces. Each id lies in one piece, and pieces fill a
-    sequence from offset 0 without gaps.
+    sequence from offset 0 without gaps. Texts may be as long as a row can be; columns but `extra_col` are left out.
     """
     spark = docs.sparkSession
     key, extra = F.col(f"`{id_col}`"), F.col(f"`{extra_col}`") if extra_col else F.lit(None).cast("string")
     kind, extra_kind = docs.schema[id_col].dataType.simpleString(), docs.schema[extra_col].dataType.simpleString() if extra_col else "string"
     rows = docs.select(key.alias("k"), F.col(f"`{text_col}`").cast("binary").alias("t"), extra.alias("extra"))
-    tokens = materialize(rows.mapInArrow(lambda b: _tokenized(path, end, b), f"k {kind}, n long, ids binary, seen array<long>, extra {extra_kind}"), "tokens", BATCH_ROWS)
+    tokens = materialize(rows.mapInArrow(lambda b: _tokenized(path, end, b), f"k {kind}, n long, ids binary, seen array<long>, extra {extra_kind}, {', '.join(f'l{j} long' for j in range(KEYS))}"), "tokens", BATCH_ROWS)
     n, total = tokens.where("n >= 0").agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     words = word_ids(path)
     counts = np.zeros(words.library.get_vocab_size() + 1, np.int64)  # one number a token id: bounded by the vocabulary
-    for t, c in tokens.where("n < 0").select(F.posexplode("seen").alias("t", "c")).groupBy("t").agg(F.sum("c")).where("sum(c) > 0").collect():
+    for t, c in tokens.where("n < 0").select(F.explode(F.transform(F.sequence(F.lit(0), F.size("seen") - 2, F.lit(2)), lambda i: F.struct(F.get("seen", i).alias("t"), F.get("seen", i + 1).alias("c")))).alias("p")).groupBy("p.t").agg(F.sum("p.c")).collect():
         counts[t] = c
     idf = np.log(1 + (n - counts + 0.5) / (counts + 0.5)).astype(np.float32)
     shared = spark.sparkContext.broadcast(idf)
-    shards, mean, width = max(1, -(-total // SHARD_TOKENS)), total / max(n, 1), words.kind
-    dealt = tokens.where("n >= 0").select(F.pmod(F.xxhash64("k"), F.lit(shards)).alias("shard"), "k", "ids", "extra")
-    ready = dealt.repartition("shard").sortWithinPartitions("shard", "k", F.xxhash64("ids"))
-    out = ready.mapInArrow(lambda b: _packed(width, shared.value, mean, window, digests, b), f"k {kind}, start long, length long, ids {'long' if digests else 'binary'}, n long, s long, o long, extra {extra_kind}")
+    most, mean, width = SHARD_TOKENS, total / max(n, 1), words.kind
+    order = [*(f"l{j}" for j in range(KEYS)), "h", "k", "row"]  # `row` parts rows that are equal in all else
+    dealt = tokens.where("n >= 0").select("k", "ids", "extra", *order[:KEYS], F.xxhash64("ids").alias("h"), F.monotonically_increasing_id().alias("row"))
+    ready = dealt.repartitionByRange(max(1, -(-total // most)), *order).sortWithinPartitions(*order)
+    out = ready.select("k", "ids", "extra").mapInArrow(lambda b: _packed(width, shared.value, mean, window, most, digests, b), f"k {kind}, start long, length long, ids {'long' if digests else 'binary'}, n long, s long, o long, extra {extra_kind}")
     names = [id_col, "start", "length", "ids_crc32" if digests else "ids", "doc_tokens", "sequence_id", "offset", extra_col or "__extra"]
     return out.toDF(*names) if extra_col else out.toDF(*names).drop("__extra")

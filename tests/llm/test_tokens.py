@@ -209,3 +209,23 @@ def test_arcs_are_what_the_merges_leave(word_bpe, library):
     got = auto.encode_all(letters)
     assert got == [auto.encode(x) for x in letters] == [library.encode(w, add_special_tokens=False).ids for w in words]
     assert auto.encode_all([]) == []
+
+
+def test_rows_without_an_id_are_spread_and_neighbours_meet(spark, word_bpe, monkeypatch):
+    """Many rows of one id, or none, fill many shards; near copies share a shard far more often than by chance."""
+    monkeypatch.setattr(packing, "SHARD_TOKENS", 2500)
+    r = random.Random(8)
+    vocabulary = ["".join(r.choice("abcdefgh") for _ in range(r.randrange(3, 9))) for _ in range(2000)]
+    texts = [" ".join(r.choices(vocabulary, k=40)) for _ in range(100)]
+    rows = [(None, t, "") for t in texts] + [(k, t + " " + r.choice(vocabulary), "") for k, t in enumerate(texts)] + [(7, "same", "")] * 3000
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, __t string"), word_bpe).collect()
+    shards = {}
+    for x in out:
+        shards.setdefault(x["sequence_id"] >> 32, []).append(x)
+    assert len({x["sequence_id"] >> 32 for x in out if x["doc_id"] is None}) > 4
+    assert max(sum(x["length"] for x in xs) for xs in shards.values()) < 2 * 2500 and len(shards) > 8
+    place = {}
+    for x in out:
+        if x["start"] == 0 and x["doc_id"] != 7 or x["doc_tokens"] > 10 and x["start"] == 0:
+            place.setdefault(bytes(x["ids"])[:20], set()).add(x["sequence_id"] >> 32)
+    assert sum(len(v) == 1 for v in place.values()) > 0.7 * len(place)
