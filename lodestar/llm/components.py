@@ -11,7 +11,7 @@ from lodestar.plans.scratch import materialize
 def _large_star(e: DataFrame) -> DataFrame:
     """Each node's larger neighbours move to the smallest of its neighbours and itself."""
     both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+    least = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "least")  # a join of two plain shuffles, which Spark can split where a centre is hot
     return both.join(least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 

@@ -14,6 +14,9 @@ Links are then found in three steps, so that a large group of copies isn't expan
    how much x and y differ. Only pairs of two components that meet and pass the bound become rows; this step is exact;
 3. classes far from a bucket's centre have no link to those near it (Jaccard distance is a metric), and are compared
    with the bucket's others that have no link to the centre: by sketches (5.5 standard deviations), then on full sets.
+
+What is counted for each bucket or centre is written before it is joined back, so that both sides of such a join are
+plain shuffles and Spark divides a hot bucket or centre at run time (its skew join can't divide an aggregate).
 """
 
 from __future__ import annotations
@@ -159,7 +162,7 @@ def compare(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     text is sent once for each pair of which it is the member, and once for each run of which it is the centre.
     """
     kind = pairs.schema["a"].dataType.simpleString()
-    n = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("parts"))
+    n = materialize(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("parts")), "parts")
     runs = pairs.join(n, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("id"))
     rows = runs.union(runs.select("a", "part", F.col("a").alias("id")).distinct())
     full = rows.join(texts, "id").select("a", "part", "id", "t")
@@ -190,20 +193,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = named.join(classes.select("s1", "s2", F.col("rep").alias("id")), ["s1", "s2", "id"])
     buckets = reps.select("id", F.explode("bands").alias("bucket"))
     least = buckets.groupBy("bucket").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre <> last").drop("last")
+    least = materialize(least, "centres")
     shared = materialize(buckets.join(least, "bucket"), "buckets")
     sketches = reps.select("id", "n", "k1", "k2", "k3", "k4")
 
     stars = shared.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
     stars = stars.join(sketches.alias("x"), F.col("a") == F.col("x.id")).join(sketches.alias("y"), F.col("b") == F.col("y.id"))
     far = max(0, 100 - 2 * (100 - percent))
-    stars = stars.where(_alike("x", "y", far, least_agreement(far, 4))).select("a", "b")
+    stars = materialize(stars.where(_alike("x", "y", far, least_agreement(far, 4))).select("a", "b"), "stars")
     compared = materialize(compare(stars, texts, size, percent), "compared", BATCH_ROWS)
     links = compared.where("linked").select("a", "b")
     found = components(links)
 
     placed = compared.join(found.withColumnRenamed("id", "b"), "b", "left").select("a", "b", "m", F.size("apart").alias("d"), "linked", F.coalesce("component", "b").alias("component"), "flips", F.slice("apart", F.lit(1), F.col("first")).alias("prefix"))
     loose = placed.where("not linked")
-    sides = [t.select("a", *[F.col(c).alias(f"{v}_{c}") for c in ("b", "m", "d", "linked", "component", "flips")], F.posexplode("prefix").alias(f"{v}_at", "e")) for v, t in (("x", loose), ("y", placed.join(loose.select("a").distinct(), "a")))]
+    unlinked = materialize(compared.where("not linked").select("a").distinct(), "unlinked")
+    sides = [t.select("a", *[F.col(c).alias(f"{v}_{c}") for c in ("b", "m", "d", "linked", "component", "flips")], F.posexplode("prefix").alias(f"{v}_at", "e")) for v, t in (("x", loose), ("y", placed.join(unlinked, "a")))]
     most = (F.col("x_m") + F.col("y_m")) * ((100 - percent) / (100 + percent)) + 1e-9
     common = F.greatest(F.lit(1.0), F.ceil((F.col("x_d") + F.col("y_d") - most) / 2))
     flipped = sum((F.bit_count(F.get("x_flips", F.lit(k)).bitwiseXOR(F.get("y_flips", F.lit(k)))) for k in range(8)), F.lit(0))
@@ -219,7 +224,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     spots = shared.select("bucket", "centre", "id").join(compared.select(F.col("a").alias("centre"), F.col("b").alias("id"), "linked"), ["centre", "id"], "left")
     spots = spots.where("id <> centre and not coalesce(linked, false)").select("bucket", "id", F.col("linked").isNull().alias("far"))
-    spots = spots.join(spots.where("far").select("bucket").distinct(), "bucket").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    spots = spots.join(materialize(spots.where("far").select("bucket").distinct(), "far"), "bucket").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     members = materialize(spots.join(sketches, "id"), "members")
     x, y = members.where("far").alias("x"), members.alias("y")
     apart = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") != F.col("y.component")) & (~F.col("y.far") | (F.col("x.id") < F.col("y.id")))
