@@ -6,11 +6,13 @@ places, so only suffixes at anchors (one in nineteen) take part, and of those on
 occur elsewhere too:
 
 1. texts are written in groups of some megabytes; everything up to a group is summed up before it is shuffled;
-2. splitters sampled from the suffixes' leading bytes range-partition the groups' distinct anchors into buckets, which
-   report the ones found in two documents;
+2. splitters sampled from the suffixes' leading bytes, in proportion to the buckets, range-partition the groups'
+   distinct anchors into buckets, which report the ones found in two documents. Leading bytes so frequent that several
+   splitters fall on them are dealt over the buckets between these by the hash of the 16 bytes;
 3. of these the groups send the text around the anchor; a bucket sorts its suffixes word by word (multikey quicksort
    on words of eight bytes), takes the common prefixes of neighbours, and so finds for each string of 50 bytes around
-   an anchor the smallest id that has it. Splitters never part equal leading bytes, so no string crosses a boundary;
+   an anchor the smallest id that has it. Suffixes with 16 equal leading bytes are in one bucket, so no string
+   crosses a boundary;
 4. anchors of very many groups would make one bucket large. Their strings are dealt by hashes (128 bits) of the whole
    50 bytes instead, one row for each group that has the string, whatever the number of documents;
 5. the groups compare each string's smallest id with their documents' and cover the bytes.
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm.shingles import mix, numbers
@@ -37,8 +39,10 @@ GROUP_BYTES = 8 << 20
 BUCKET_BYTES = 24 << 20
 #: Groups that share an anchor, from which its strings are dealt one by one.
 HOT_GROUPS = 256
-#: Groups from which splitters are sampled, and leading codes from each.
-SAMPLE_GROUPS, SAMPLE_CODES = 16, 4096
+#: Groups from which splitters are sampled, at least; buckets for which there is one group; and leading codes from each.
+SAMPLE_GROUPS, SAMPLE_BUCKETS, SAMPLE_CODES = 16, 64, 4096
+#: Sampled codes that one task ranks.
+RANKED = 1 << 20
 #: Starts of strings that are handled at once.
 SEGMENT = 1 << 18
 
@@ -101,6 +105,12 @@ def leading_codes(data: np.ndarray, places: np.ndarray) -> np.ndarray:
     return code
 
 
+def buckets_of(codes: np.ndarray, hashes: np.ndarray, splitters: np.ndarray) -> np.ndarray:
+    """The bucket of each suffix by its leading code; where splitters equal the code, by its hash one of those they border."""
+    low, high = np.searchsorted(splitters, codes, side="left"), np.searchsorted(splitters, codes, side="right")
+    return low + ((hashes & _PLACE) % (high - low + 1).astype(np.uint64)).astype(np.int64)
+
+
 def suffix_sort(words: np.ndarray) -> np.ndarray:
     """The order of rows of big-endian words, by multikey quicksort: only rows still equal are sorted by their next word."""
     order = np.argsort(words[:, 0], kind="stable")
@@ -151,20 +161,19 @@ class _Group:
         self.place, h, self.first, self.last = anchors(self.data, self.ends)
         self.owner = np.searchsorted(self.ends, self.first, side="right")
         key = h >> np.uint64(24)
-        bucket = np.searchsorted(splitters, leading_codes(self.data, self.place), side="right")
+        bucket = buckets_of(leading_codes(self.data, self.place), h, splitters)
         both, self.distinct = np.unique(bucket.astype(np.uint64) << np.uint64(40) | key, return_inverse=True)
         self.key, self.bucket = both & np.uint64((1 << 40) - 1), (both >> np.uint64(40)).astype(np.int64)
         lo, hi = np.full(len(both), len(ids)), np.full(len(both), -1)
         np.minimum.at(lo, self.distinct, self.owner)
         np.maximum.at(hi, self.distinct, self.owner)
         self.several = lo != hi
-        self.bounds = np.searchsorted(self.bucket, np.arange(len(splitters) + 2))
 
     def flags(self, found: dict[int, bytes]) -> np.ndarray:
         """For each anchor: 0 if alone, 1 if found in two documents, 2 if in very many groups."""
         out = self.several.astype(np.uint8)
         for b, data in found.items():
-            a, z = self.bounds[b], self.bounds[b + 1]
+            a, z = np.searchsorted(self.bucket, [b, b + 1])
             out[a:z] = np.maximum(out[a:z], _expand(data, z - a, "u1"))
         return out[self.distinct]
 
@@ -291,7 +300,8 @@ def _keys(splitters: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[
     """The distinct anchors of each group by bucket, as sorted 40-bit keys in planes of bytes."""
     for batch in batches:
         for g, group, _ in _members(batch, splitters):
-            rows = [(b, g, z - a, _squeeze(group.key[a:z].astype("<u8").view(np.uint8).reshape(-1, 8)[:, 4::-1].T)) for b, (a, z) in enumerate(zip(group.bounds[:-1].tolist(), group.bounds[1:].tolist(), strict=True)) if z > a]
+            present, begins, sizes = np.unique(group.bucket, return_index=True, return_counts=True)
+            rows = [(b, g, n, _squeeze(group.key[a : a + n].astype("<u8").view(np.uint8).reshape(-1, 8)[:, 4::-1].T)) for b, a, n in zip(present.tolist(), begins.tolist(), sizes.tolist(), strict=True)]
             yield _rows(rows, "bucket", "g", "n", "data")
 
 
@@ -424,6 +434,28 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(codes.astype(np.int64))], names=["code"])
 
 
+def _splitters(groups: DataFrame, n_groups: int, n_buckets: int) -> np.ndarray:
+    """The sampled leading codes that part them into n_buckets equal shares, in order; frequent ones come several times.
+
+    The sample grows with the buckets, and its codes are ranked by tasks; eight bytes for each bucket reach the driver.
+    """
+    wanted = max(SAMPLE_GROUPS, n_buckets // SAMPLE_BUCKETS)
+    picked = groups.where(F.pmod(F.xxhash64("g"), F.lit(max(1, n_groups // wanted))) == 0)
+    counts = materialize(picked.mapInArrow(_sampled, "code long").groupBy("code").agg(F.count(F.lit(1)).alias("n")), "sample")
+    distinct, total = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    ranges = materialize(counts.repartitionByRange(1 + distinct // RANKED, "code").withColumn("part", F.spark_partition_id()), "ranges")
+    before, ahead = [], 0
+    for r in ranges.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():  # a row for each task above
+        before.append((r["part"], ahead))
+        ahead += r["n"]
+    offsets = F.broadcast(groups.sparkSession.createDataFrame(before, "part int, ahead long"))
+    rank = F.col("ahead") + F.sum("n").over(Window.partitionBy("part").orderBy("code"))
+    share = lambda r: F.least(F.floor(r * n_buckets / max(1, total)), F.lit(n_buckets - 1))
+    ranked = ranges.join(offsets, "part").select("code", share(rank - F.col("n")).alias("a"), share(rank).alias("z"))
+    found = ranked.where("z > a").select("code", (F.col("z") - F.col("a")).alias("times")).toArrow()
+    return np.sort(np.repeat(found["code"].to_numpy(), found["times"].to_numpy())).astype(np.uint64)
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
     """Per row: the id, `n_bytes`, `n_removed`, `spans` (start, stop) and `kept` (bytes), or `n_spans` and `kept_sha256`.
 
@@ -435,12 +467,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     groups = materialize(rows.mapInArrow(_grouped, "g long, ids array<long>, nulls array<boolean>, sizes array<long>, size long, blob binary"), "groups")
     n, total = groups.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     n_buckets, n_hot = max(1, -(-total // BUCKET_BYTES)), max(1, -(-total // BUCKET_BYTES))
-    splitters = np.zeros(0, np.uint64)
-    if n_buckets > 1:
-        picked = groups.where(F.pmod(F.xxhash64("g"), F.lit(max(1, n // SAMPLE_GROUPS))) == 0)
-        codes = np.sort(np.array([r[0] for r in picked.mapInArrow(_sampled, "code long").limit(4 * SAMPLE_GROUPS * SAMPLE_CODES).collect()], np.uint64))
-        if len(codes):
-            splitters = np.unique(codes[np.arange(1, n_buckets) * len(codes) // n_buckets])
+    splitters = _splitters(groups, n, n_buckets) if n_buckets > 1 else np.zeros(0, np.uint64)
 
     dealt = "bucket long, g long, n long, data binary"
     keys = groups.mapInArrow(lambda b: _keys(splitters, b), dealt)

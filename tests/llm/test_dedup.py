@@ -172,6 +172,29 @@ def test_repeats_give_spans_and_bytes(docs_of, by_id):
     assert suffixes.remove_repeats(docs_of([(1, s)]).limit(0)).count() == 0
 
 
+def test_splitters_part_frequent_suffixes_by_hash(spark, docs_of, monkeypatch):
+    """Where half of all suffixes begin alike, buckets still get about equal shares, and equal suffixes one bucket each."""
+    for name, v in (("GROUP_BYTES", 4000), ("BUCKET_BYTES", 20_000), ("RANKED", 500), ("SAMPLE_BUCKETS", 1)):
+        monkeypatch.setattr(suffixes, name, v)
+    r = random.Random(5)
+    rows = [(k, "".join(r.choices("ABCD" if r.random() < 0.6 else "abcdefgh", k=600))) for k in range(500)]  # A to D have one code
+    rows += [(1000 + k, t[r.randrange(300) :] + "end") for k, t in rows[:40]]
+    seen = []
+    made = suffixes._splitters
+    monkeypatch.setattr(suffixes, "_splitters", lambda *a: seen.append((made(*a), a[2])) or seen[-1][0])
+    got = sorted((tuple(x) for x in suffixes.remove_repeats(docs_of(rows).repartition(3), digests=True).collect()), key=str)
+    assert got == plain_repeats(rows)
+    (splitters, n), data = seen[0], np.frombuffer("".join(t for _, t in rows).encode(), np.uint8)
+    assert len(splitters) == n - 1 and (np.diff(splitters.astype(np.int64)) >= 0).all() and len(np.unique(splitters)) < n - 1
+    place, h, _, _ = suffixes.anchors(data, np.array([len(data)]))
+    codes = suffixes.leading_codes(data, place)
+    buckets = suffixes.buckets_of(codes, h, splitters)
+    assert (np.diff(buckets[np.argsort(codes, kind="stable")]) < 0).sum() > 0 and np.bincount(buckets).max() < 4 * len(codes) / n
+    grams = {}
+    for p, b in zip(place.tolist(), buckets.tolist(), strict=True):
+        assert grams.setdefault(data[p : p + suffixes.GRAM].tobytes(), b) == b
+
+
 def test_suffix_sort_is_a_sort():
     r = np.random.default_rng(3)
     words = r.integers(0, 3, (500, 6)).astype(np.uint64)
