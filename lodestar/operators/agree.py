@@ -12,9 +12,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from lodestar.functions.encoding import agree_mask, mask_of
+from lodestar.functions.encoding import WORD, agree_mask, mask_of
+from lodestar.operators.cover import bits
 from lodestar.plans.scratch import materialize
 
+#: Columns with repeats up to which agreeing pairs are counted by column set, and sets that one job groups by.
+COUNTED_COLUMNS, COUNTED_SETS = 12, 64
 #: Rows of one value that a window task holds; larger clusters are divided in their order.
 CLUSTER_ROWS = 100_000
 #: Parts of a cluster whose ends are found before the cluster's own.
@@ -43,28 +46,77 @@ def _sides(codes: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     return tuple(codes.select(F.col("id").alias(f"{v}id"), *[F.col(f"c{k}").alias(f"{v}c{k}") for k in range(n)]) for v in ("l", "r"))
 
 
-def all_pairs(codes: DataFrame, max_rows: int = 50_000) -> DataFrame:
-    """`mask`: the agree set of every pair of rows, without repeats.
+def all_pairs(codes: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """`mask`: the agree set of every pair of rows, without repeats. More than `max_rows` rows, if given, are an error.
 
-    Pairs that agree somewhere meet in the equi-join on the first column where they do; all others have the empty set,
-    which is there if those pairs are fewer than n (n - 1) / 2. The work is quadratic in the rows, whence the limit.
+    A column without repeats is in no agree set, one of a single value in all. Of the others, pairs that agree on at least
+    a column set are counted from the sizes of its groups, and from these counts, by inclusion and exclusion, the pairs that
+    agree on exactly that set. So no pair is spelled out, and the work is that of 2^columns groupings. Where these are more
+    than the rows, or the columns more than COUNTED_COLUMNS, pairs are joined instead, which is quadratic in the rows.
     """
     n = width(codes)
-    rows = codes if "id" in codes.columns else numbered(codes)
-    count = rows.count()
-    if count > max_rows:
+    names = [f"c{k}" for k in range(n)]
+    count = codes.count()
+    if max_rows is not None and count > max_rows:
         raise ValueError(f"{count} rows are too many to compare each pair; the limit is {max_rows}")
+    if not n or count < 2:
+        return codes.sparkSession.createDataFrame([], "mask array<bigint>")
+    total = count * (count - 1) // 2
+    values = codes.select(F.posexplode(F.array(*names)).alias("m", "code")).where("code is not null").groupBy("m", "code").agg(F.count(F.lit(1)).alias("n"))
+    single = _agreeing(values)
+    some = [k for k in range(n) if 0 < single.get(k, 0) < total]
+    always = sum(1 << k for k in range(n) if single.get(k, 0) == total)
+    if len(some) > COUNTED_COLUMNS or 1 << len(some) > count:
+        return _joined(codes, n, some, always, total)
+    rows = codes.groupBy(*[names[k] for k in some]).agg(F.count(F.lit(1)).alias("n")) if some else None
+    exactly = [total] + [0] * ((1 << len(some)) - 1)
+    for j, k in enumerate(some):
+        exactly[1 << j] = single[k]
+    sets = [x for x in sorted(range(1 << len(some)), key=int.bit_count) if x.bit_count() > 1]
+    if len(sets) > COUNTED_SETS:
+        rows = materialize(rows, "counted")
+    for at in range(0, len(sets), COUNTED_SETS):
+        batch = sets[at : at + COUNTED_SETS]
+        batch = [x for x in batch if all(exactly[y] or y in batch for y in (x & ~(1 << j) for j in bits(x)))]
+        if not batch:
+            continue
+        mark = sum(((1 - F.grouping(names[k]).cast("int")) * (1 << j) for j, k in enumerate(some)), F.lit(0))
+        whole = reduce(lambda a, b: a & b, ((F.grouping(names[k]) == 1) | F.col(names[k]).isNotNull() for k in some))
+        groups = rows.groupingSets([[F.col(names[some[j]]) for j in bits(x)] for x in batch], *[F.col(names[k]) for k in some])
+        for x, pairs in _agreeing(groups.agg(mark.alias("m"), whole.alias("whole"), F.sum("n").alias("n")).where("whole")).items():
+            exactly[x] = pairs
+    for j in range(len(some)):
+        for x in range(len(exactly)):
+            if not x >> j & 1:
+                exactly[x] -= exactly[x | 1 << j]
+    found = [always | sum(1 << some[j] for j in bits(x)) for x, pairs in enumerate(exactly) if pairs]
+    return codes.sparkSession.createDataFrame([(_words(m, n),) for m in found], "mask array<bigint>")  # sets of columns
+
+
+def _agreeing(groups: DataFrame) -> dict[int, int]:
+    """Of groups of sizes `n`, for each `m`: how many pairs of rows share a group."""
+    size = F.col("n").cast("decimal(19,0)")
+    pairs = groups.where("n > 1").groupBy("m").agg(F.sum(size * (size - 1)).alias("pairs"))
+    return {r["m"]: int(r["pairs"]) // 2 for r in pairs.collect()}  # a row for each column set
+
+
+def _words(mask: int, n: int) -> list[int]:
+    return [mask >> at & (1 << WORD) - 1 for at in range(0, n, WORD)]
+
+
+def _joined(codes: DataFrame, n: int, some: Sequence[int], always: int, total: int) -> DataFrame:
+    """Agree sets by equi-joins: pairs that agree in some of these columns meet in the join on the first one where they do;
+    all others agree in the columns of `always` only, and are there if those pairs are fewer than the total."""
+    rows = codes if "id" in codes.columns else numbered(codes)
     left, right = _sides(rows, n)
     found = []
-    for k in range(n):
-        earlier = reduce(lambda a, b: a & b, (~F.coalesce(F.col(f"lc{j}") == F.col(f"rc{j}"), F.lit(False)) for j in range(k)), F.lit(True))
+    for at, k in enumerate(some):
+        earlier = reduce(lambda a, b: a & b, (~F.coalesce(F.col(f"lc{j}") == F.col(f"rc{j}"), F.lit(False)) for j in some[:at]), F.lit(True))
         found.append(left.join(right, (F.col(f"lc{k}") == F.col(f"rc{k}")) & (F.col("lid") < F.col("rid")) & earlier).select(agree_mask("l", "r", n).alias("mask")).groupBy("mask").agg(F.count(F.lit(1)).alias("n")))
-    if not found:
-        return codes.sparkSession.createDataFrame([], "mask array<bigint>")
     counted = reduce(DataFrame.union, found)
-    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
-    empty = total.where(F.col("n") < count * (count - 1) // 2).select(F.array(*[F.lit(0).cast("long")] * len(range(0, n, 62))).alias("mask"))
-    return counted.select("mask").distinct().union(empty)
+    sums = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    others = sums.where(F.col("n") < total).select(F.array(*[F.lit(w).cast("long") for w in _words(always, n)]).alias("mask"))
+    return counted.select("mask").distinct().union(others)
 
 
 def _order(n: int, k: Column, falling: bool = True) -> list[Column]:

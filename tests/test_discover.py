@@ -149,6 +149,26 @@ def test_agree_sets_and_maximal_sets(spark):
     assert {(frozenset(x["lhs"]), x["rhs"]) for x in non_dependencies(df).collect()} == expected
 
 
+def test_agree_sets_of_more_rows_than_pairs_can_be_spelled_out(spark):
+    """60,000 rows: 1.8 billion pairs, which the former limit of 50,000 rows refused."""
+    df = spark.range(60_000).selectExpr("id", "id % 25 AS a", "id % 1000 AS b", "7 AS c", "CASE WHEN id < 3 THEN id ELSE 3 END AS d")
+    exact = {0b01000, 0b11000, 0b01010, 0b11010, 0b01110, 0b11110}
+    assert agree.masks(agree.all_pairs(validate.encode(df))) == exact
+    assert found(df, method="pairs") == {(frozenset(), "c"), *((frozenset({"id"}), x) for x in "abd"), (frozenset("b"), "a")}
+
+
+@pytest.mark.parametrize("equal", [True, False])
+def test_agree_sets_by_counts_and_by_joins(spark, monkeypatch, equal):
+    r = random.Random(8)
+    rows = [(str(k), "x", None if r.random() < 0.2 else r.choice("ab"), r.choice(["1", "2", None]), str(r.randrange(30)), str(r.randrange(4))) for k in range(70)]
+    rows += [("70", "x", *rows[0][2:]), ("71", "x", None, None, "0", "0"), ("72", "x", None, None, "0", "0")]
+    codes, exact = validate.encode(from_rows(spark, list("abcdef"), rows), None, equal), agree_sets(rows, equal)
+    for columns, sets in ((12, 64), (12, 3), (0, 64)):
+        monkeypatch.setattr(agree, "COUNTED_COLUMNS", columns)
+        monkeypatch.setattr(agree, "COUNTED_SETS", sets)
+        assert agree.masks(agree.all_pairs(codes)) == exact
+
+
 def test_many_columns(spark):
     """More columns than a mask's number has bits."""
     names = [f"c{k}x" for k in range(70)]
