@@ -7,8 +7,10 @@ is computed beside it.
 
 Recordings with the same integers are one class. Every place of an integer votes for every place of it in a class of a
 smaller id and the offset between them; of the offsets whose bit errors over the overlap confirm them, the one with the
-most votes is the alignment. Integers that many places share are dealt in parts. So the rows of votes follow the pairs
-of places that share an integer, which grow with the square of how often it comes.
+most votes is the alignment. Classes are divided by their ids' order into blocks. A task holds the integers of one block,
+sorted, and reads those of all classes up to its own, so votes of two recordings are counted where they are cast and are
+neither written nor shuffled, though they grow with the square of how often an integer comes. What is shuffled is a
+class's integers, once for each block from its own on.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.plans.scratch import materialize
@@ -37,8 +39,10 @@ WIDTH = max(f[3] for f in FILTERS)
 GRAY = np.array([0, 1, 3, 2], np.uint32)
 #: An alignment has so many votes, and at most so many wrong bits of 100.
 MIN_VOTES, MAX_ERRORS = 2, 35
-#: Places of one integer that vote in one task, each for all places of it.
-HOT = 1000
+#: Integers of a block's recordings, the least number of blocks that a larger table has, and integers for each of these.
+BLOCK_CODES, BLOCKS, FEW_CODES = 16_000_000, 12, 100_000
+#: Ranges of ids for each block, votes that are counted at once, and integers that are compared at once.
+RANGES, PAIRS = 4, 1 << 21
 
 _HZ = np.arange(FRAME // 2 + 1) * RATE / FRAME
 _BINS = np.flatnonzero((_HZ >= LOWEST) & (_HZ <= HIGHEST))
@@ -151,12 +155,143 @@ def fingerprints(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
     return rows.mapInArrow(_fingerprinted, f"id {kind}, frames long, codes array<int>")
 
 
-def _errors(x: Column, y: Column, offset: Column) -> tuple[Column, Column]:
-    """Steps in which x and y overlap if x is ahead by offset, and bits in which they differ there."""
-    begin = F.greatest(F.lit(0), offset)
-    steps = F.least(F.size(x), F.size(y) + offset) - begin
-    wrong = F.zip_with(F.slice(x, begin + 1, steps), F.slice(y, begin - offset + 1, steps), lambda a, b: F.bit_count(a.bitwiseXOR(b).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))))
-    return steps.cast("long"), F.aggregate(wrong, F.lit(0), lambda a, b: a + b).cast("long")
+def _errors(x: np.ndarray, y: np.ndarray, x_from: np.ndarray, y_from: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """Bits in which stretches of x and y differ."""
+    out, ends, a = np.empty(len(steps), np.int64), np.cumsum(steps), 0
+    while a < len(steps):
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] - steps[a] + PAIRS, "right")))
+        n = steps[a:b]
+        starts = np.cumsum(n) - n
+        at = np.arange(n.sum()) - np.repeat(starts, n)
+        wrong = np.bitwise_count((x[np.repeat(x_from[a:b], n) + at] ^ y[np.repeat(y_from[a:b], n) + at]).view(np.uint32))
+        out[a:b], a = np.add.reduceat(wrong, starts, dtype=np.int64), b
+    return out
+
+
+class _Recordings:
+    """Some classes: their numbers, integers, and places of these that are the first in a run of equal ones."""
+
+    def __init__(self, c: np.ndarray, sizes: np.ndarray, codes: np.ndarray):
+        self.c, self.sizes, self.codes, self.begins = c, sizes, codes, np.cumsum(sizes) - sizes
+        new = np.ones(len(codes), bool)
+        new[1:] = codes[1:] != codes[:-1]
+        new[self.begins] = True
+        places = np.flatnonzero(new)
+        self.v = codes[places]
+        self.doc = np.repeat(np.arange(len(c), dtype=np.int32), sizes)[places]
+        self.at = (places - self.begins[self.doc]).astype(np.int32)
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch) -> _Recordings:
+        sizes = batch.column(3).value_lengths().to_numpy().astype(np.int64)
+        return cls(batch.column(1).to_numpy(), sizes, batch.column(3).flatten().to_numpy())
+
+
+class _Voters:
+    """A block's recordings and the best alignment of each so far. `lo` is the least number of a class with the same id."""
+
+    def __init__(self, own: _Recordings, lo: np.ndarray):
+        order = np.argsort(own.v, kind="stable")
+        self.own, self.lo, self.v, self.doc, self.at = own, lo, own.v[order], own.doc[order], own.at[order]
+        #: The reference's number, the offset, votes, overlap and errors.
+        self.ref, self.offset, self.n, self.overlap, self.errors = np.zeros((5, len(lo)), np.int64)
+        del own.v, own.doc, own.at
+
+    def compare(self, refs: _Recordings) -> None:
+        """Let all places vote for the places of some other recordings with smaller ids."""
+        first = np.searchsorted(self.v, refs.v, "left")
+        count = np.searchsorted(self.v, refs.v, "right") - first
+        ends = np.concatenate([[0], np.cumsum(count)])
+        bounds = ends[np.searchsorted(refs.doc, np.arange(len(refs.c) + 1))]
+        a = 0
+        while a < len(refs.c):
+            b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + PAIRS, "right")) - 1)
+            parts = [self._votes(refs, first, ends, p, min(int(bounds[b]), p + PAIRS), a, b - a) for p in range(int(bounds[a]), int(bounds[b]), PAIRS)]
+            if parts:
+                self._judge(refs, a, b - a, *(parts[0] if len(parts) == 1 else _summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))))
+            a = b
+
+    def _span(self, refs: _Recordings) -> tuple[int, int]:
+        longest = int(refs.sizes.max())
+        return longest, longest + int(self.own.sizes.max())
+
+    def _votes(self, refs: _Recordings, first: np.ndarray, ends: np.ndarray, p: int, q: int, a: int, docs: int) -> tuple[np.ndarray, np.ndarray]:
+        """The votes from p to q: recording, reference and offset as one number, and how many there are."""
+        i, j = int(np.searchsorted(ends, p, "right")) - 1, int(np.searchsorted(ends, q, "left"))
+        there = np.repeat(np.arange(i, j), np.minimum(ends[i + 1 : j + 1], q) - np.maximum(ends[i:j], p))
+        here = first[there] + np.arange(p, q) - ends[there]
+        ok = refs.c[refs.doc[there]] < self.lo[self.doc[here]]
+        here, there = here[ok], there[ok]
+        longest, span = self._span(refs)
+        keys = (self.doc[here].astype(np.int64) * docs + refs.doc[there] - a) * span + self.at[here] - refs.at[there] + longest
+        return np.unique(keys, return_counts=True)
+
+    def _judge(self, refs: _Recordings, a: int, docs: int, keys: np.ndarray, n: np.ndarray) -> None:
+        """Take the offsets with enough votes, in the order of their rank, and keep the first that the bit errors confirm."""
+        keys, n = keys[n >= MIN_VOTES], n[n >= MIN_VOTES]
+        longest, span = self._span(refs)
+        offset, doc = keys % span - longest, keys // span
+        voter, doc = doc // docs, doc % docs + a
+        ref, old = refs.c[doc], (self.n[voter], self.ref[voter], self.offset[voter])
+        better = (n > old[0]) | ((n == old[0]) & ((ref < old[1]) | ((ref == old[1]) & (offset < old[2]))))
+        order = np.flatnonzero(better)
+        order = order[np.lexsort((offset[order], ref[order], -n[order], voter[order]))]
+        offset, doc, voter, ref, n = (x[order] for x in (offset, doc, voter, ref, n))
+        most = 1
+        while len(n):
+            starts = np.flatnonzero(np.concatenate([[True], voter[1:] != voter[:-1]]))
+            now = np.arange(len(n)) - np.repeat(starts, np.diff(np.append(starts, len(n)))) < most
+            k = np.flatnonzero(now)
+            begin = np.maximum(0, offset[k])
+            steps = np.minimum(self.own.sizes[voter[k]], refs.sizes[doc[k]] + offset[k]) - begin
+            wrong = _errors(self.own.codes, refs.codes, self.own.begins[voter[k]] + begin, refs.begins[doc[k]] + begin - offset[k], steps)
+            stands = np.flatnonzero(100 * wrong <= MAX_ERRORS * 32 * steps)
+            who, at = np.unique(voter[k[stands]], return_index=True)
+            at = stands[at]
+            for column, x in zip((self.ref, self.offset, self.n, self.overlap, self.errors), (ref[k], offset[k], n[k], steps, wrong), strict=True):
+                column[who] = x[at]
+            rest = ~now & ~np.isin(voter, who)
+            offset, doc, voter, ref, n = (x[rest] for x in (offset, doc, voter, ref, n))
+            most *= 2
+
+
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys)
+    keys = keys[order]
+    starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
+    return (keys[starts], np.add.reduceat(n[order], starts)) if len(keys) else (keys, n)
+
+
+def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (other, number, lo, codes), the own ones of a block first: the best alignment of each of these."""
+    own: list[pa.RecordBatch] = []
+    voters = None
+
+    def held() -> _Voters:
+        parts = [_Recordings.of(b) for b in own]
+        join = lambda f: np.concatenate([f(x) for x in parts])
+        whole = _Recordings(join(lambda x: x.c), join(lambda x: x.sizes), join(lambda x: x.codes))
+        voters = _Voters(whole, np.concatenate([b.column(2).to_numpy() for b in own]))
+        for x in parts:
+            voters.compare(x)
+        return voters
+
+    for batch in batches:
+        for k in range(0, batch.num_rows, 1000):
+            part = batch.slice(k, 1000)
+            others = part.column(0).to_numpy(zero_copy_only=False)
+            mine = int(np.searchsorted(others, True))
+            if mine:
+                own.append(part.slice(0, mine))
+            if own and mine < len(others):  # a block may be empty
+                voters = voters or held()
+                voters.compare(_Recordings.of(part.slice(mine)))
+    if own:
+        voters = voters or held()
+        k = np.flatnonzero(voters.n)
+        for at in range(0, len(k), 10_000):
+            some = k[at : at + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (voters.own.c, voters.ref, voters.offset, voters.overlap, voters.errors)], names=["c", "ref", "offset", "overlap", "errors"])
 
 
 def align(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
@@ -175,28 +310,31 @@ def align(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
     found = found.select("*", F.xxhash64("codes").alias("f1"), F.xxhash64(F.lit(1), "codes").alias("f2"))
     named = found.where(F.col("id").isNotNull() & (F.size("codes") > 0))
     classes = materialize(named.groupBy("f1", "f2").agg(F.min("id").alias("rep")), "classes")
-    reps = named.join(classes.withColumnRenamed("rep", "id"), ["f1", "f2", "id"]).select(F.struct("id", "f1", "f2").alias("id"), "codes").dropDuplicates(["id"])  # rows of one class have equal codes
+    reps = named.join(classes.withColumnRenamed("rep", "id"), ["f1", "f2", "id"]).dropDuplicates(["id", "f1", "f2"])  # rows of one class have equal codes
+    total = named.agg(F.coalesce(F.sum(F.size("codes")), F.lit(0))).first()[0]
+    blocks = max(1, -(-total // BLOCK_CODES), min(BLOCKS, -(-total // FEW_CODES)))
+    by = Window.partitionBy("id").orderBy("f1", "f2")
+    ranged = reps.repartitionByRange(RANGES * blocks, "id").withColumn("j", F.row_number().over(by)).sortWithinPartitions("id", "f1", "f2")
+    # numbers rise with the id, then f1 and f2; `range` is that of the id
+    ranged = ranged.select("id", "f1", "f2", "codes", "j", F.monotonically_increasing_id().alias("c"), F.spark_partition_id().alias("range"))
+    ranged = materialize(ranged.select("id", "f1", "f2", "codes", "c", (F.col("c") - F.col("j") + 1).alias("lo"), "range"), "classes")
+    sizes = sorted((r["range"], r["n"]) for r in ranged.groupBy("range").agg(F.sum(F.size("codes")).alias("n")).collect())  # a row for each range
+    block, done, every = {}, 0, sum(n for _, n in sizes)
+    for number, n in sizes:
+        block[number], done = min(blocks - 1, done * blocks // max(every, 1)), done + n
     steps = F.transform("codes", lambda v, i: F.struct(v.alias("v"), i.alias("at"), F.get("codes", i - 1).alias("last")))
-    places = reps.select("id", F.explode(steps).alias("s")).where("s.last is null or s.last <> s.v").select("id", "s.v", "s.at")
-    several = places.groupBy("v").agg(F.min(F.struct("id", "at")).alias("f"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where("f.id <> last")
-    several = several.select("v", "f", F.ceil(F.col("n") / HOT).cast("int").alias("parts"))
-    shared = materialize(places.join(several, "v").select("v", "id", "at", (F.struct("id", "at") == F.col("f")).cast("int").alias("lead"), "parts"), "shared")
-    voters = shared.select("v", F.pmod(F.xxhash64("id", "at"), F.col("parts")).cast("int").alias("part"), "id", "at")
-    homes = shared.select("v", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("id").alias("ref"), F.col("at").alias("there"), "lead")
-    votes = voters.join(homes, ["v", "part"]).where("ref.id < id.id").groupBy("id", "ref", (F.col("at") - F.col("there")).alias("offset")).agg(F.count(F.lit(1)).alias("n"), F.sum("lead").alias("votes"))
-    votes = materialize(votes.where(F.col("n") >= MIN_VOTES), "votes")
-    rank = F.struct((-F.col("n")).alias("m"), "ref", "offset", "votes")
-
-    def standing(votes: DataFrame) -> DataFrame:
-        both = votes.join(reps, "id").join(reps.select(F.col("id").alias("ref"), F.col("codes").alias("other")), "ref")
-        overlap, errors = _errors(F.col("codes"), F.col("other"), F.col("offset"))
-        return both.select("id", "ref", "offset", "n", "votes", overlap.alias("overlap"), errors.alias("errors")).where(100 * F.col("errors") <= MAX_ERRORS * 32 * F.col("overlap"))
-
-    top = votes.groupBy("id").agg(F.min(rank).alias("b")).select("id", "b.ref", "b.offset", (-F.col("b.m")).alias("n"), "b.votes")
-    peaks = materialize(standing(top), "peaks")
-    others = standing(votes.join(peaks, "id", "left_anti"))  # the next ones, where the most votes don't stand
-    others = others.groupBy("id").agg(F.min_by(F.struct("ref", "offset", "n", "votes", "overlap", "errors"), rank).alias("b")).select("id", "b.*")
-    peaks = peaks.unionByName(others).select("id.f1", "id.f2", F.col("ref.id").alias("ref"), F.col("offset").cast("long").alias("offset"), "votes", "overlap", "errors")
+    places = ranged.select("c", F.explode(steps).alias("s")).where("s.last is null or s.last <> s.v").select("s.v", F.struct("c", F.col("s.at").alias("at")).alias("p"))
+    leads = places.groupBy("v").agg(F.min("p").alias("p")).groupBy("p.c").agg(F.collect_list("p.at").alias("lead"))  # of each integer, the first place
+    in_block = F.get(F.array(*[F.lit(block.get(k, 0)) for k in range(RANGES * blocks)]), F.col("range"))
+    rows = ranged.select("c", "lo", "codes", in_block.alias("block"))
+    rows = rows.select("*", F.explode(F.sequence(F.col("block"), F.lit(blocks - 1))).alias("task")).select("task", (F.col("task") != F.col("block")).alias("other"), "c", "lo", "codes")
+    rows = rows.repartitionById(blocks, F.col("task").cast("int")).sortWithinPartitions("other").select("other", "c", "lo", "codes")
+    peaks = materialize(rows.mapInArrow(_aligned, "c long, ref long, offset long, overlap long, errors long"), "peaks")
+    leads = leads.select(F.col("c").alias("ref"), "lead")
+    peaks = peaks.join(ranged.select("c", "f1", "f2", "codes"), "c").join(ranged.select(F.col("c").alias("ref"), F.col("id").alias("smaller"), F.col("codes").alias("other")), "ref").join(leads, "ref", "left")
+    at = lambda s: (s + F.col("offset")).cast("int")
+    cast = F.filter("lead", lambda s: (F.get("codes", at(s)) == F.get("other", s)) & ((at(s) == 0) | (F.get("codes", at(s) - 1) != F.get("other", s))))
+    peaks = peaks.select("f1", "f2", F.col("smaller").alias("ref"), "offset", F.coalesce(F.size(cast), F.lit(0)).cast("long").alias("votes"), "overlap", "errors")
     out = found.select("id", "frames", F.size("codes").cast("long").alias("n"), F.sha2(F.array_join("codes", " "), 256).alias("sha"), "f1", "f2").join(classes, ["f1", "f2"], "left").join(peaks, ["f1", "f2"], "left")
     own = lambda c: F.when(F.col("id").isNotNull(), F.col(c))
     return out.select(F.col("id").alias(id_col), F.col("frames").alias("n_frames"), F.col("n").alias("n_codes"), F.col("sha").alias("codes_sha256"), own("rep").alias("class_id"), own("ref").alias("aligned_to"), own("offset").alias("offset"), own("votes").alias("votes"), own("overlap").alias("overlap"), own("errors").alias("bit_errors"))

@@ -5,6 +5,7 @@ import random
 import wave
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lodestar.llm import chroma
@@ -346,3 +347,50 @@ def test_planted_cuts_are_found(spark):
         rows.append((100 + k, noisy.tobytes()))
     got = {x["id"]: (x["aligned_to"], x["offset"]) for x in chroma.align(spark.createDataFrame(rows, "id long, m binary"), "id", "m").collect()}
     assert sum(got[k] == v for k, v in planted.items()) >= 0.9 * len(planted)
+
+
+def test_votes_are_counted_where_they_are_cast(spark, monkeypatch):
+    """Near copies share many places; still no table that is written holds more rows than there are recordings."""
+    r = np.random.default_rng(12)
+    song = melody(r, 0.8)
+    rows = [(i, np.concatenate([song[: -(-chroma.HOP * i)] if i else song, melody(r, 0.2)]).tobytes()) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, m binary")
+    written, write = [], chroma.materialize
+    monkeypatch.setattr(chroma, "materialize", lambda t, *a: written.append(write(t, *a)) or written[-1])
+    found = []
+    for few in (100_000, 1000):
+        monkeypatch.setattr(chroma, "FEW_CODES", few)
+        found.append(sorted(tuple(x) for x in chroma.align(df, "id", "m").collect()))
+        assert max(t.count() for t in written) <= len(rows)
+    assert found[0] == found[1] and sum(x[5] is not None for x in found[0]) > 20
+
+
+@pytest.mark.parametrize("pairs", [7, 1 << 21])
+def test_votes_in_parts(monkeypatch, pairs):
+    """Votes of a block counted a few at a time, from its own recordings and others, against all pairs of places."""
+    monkeypatch.setattr(chroma, "PAIRS", pairs)
+    r = np.random.default_rng(4)
+    tune = r.integers(0, 9, 30) * 0x01010101
+    docs = [np.concatenate([r.integers(0, 9, 5) * 0x01010101, tune[r.integers(0, 8) :], r.integers(0, 9, r.integers(0, 6)) * 0x01010101]).astype(np.int32).tolist() for _ in range(12)]
+    lo = [0, 1, 2, 3, 4, 5, 5, 7, 8, 9, 10, 11]
+    runs = [[(t, v) for t, v in enumerate(d) if not t or d[t - 1] != v] for d in docs]
+    expected = {}
+    for c in range(4, 12):
+        votes = {}
+        for t, v in runs[c]:
+            for ref in range(lo[c]):
+                for s, w in runs[ref]:
+                    if v == w:
+                        votes[ref, t - s] = votes.get((ref, t - s), 0) + 1
+        for (ref, d), n in sorted(votes.items(), key=lambda x: (-x[1], x[0])):
+            begin, end = max(0, d), min(len(docs[c]), len(docs[ref]) + d)
+            wrong = sum((docs[c][t] ^ docs[ref][t - d]).bit_count() for t in range(begin, end))
+            if n >= chroma.MIN_VOTES and 100 * wrong <= chroma.MAX_ERRORS * 32 * (end - begin):
+                expected[c] = (ref, d, end - begin, wrong)
+                break
+    order = [*range(4, 12), *range(4)]
+    columns = [pa.array([c < 4 for c in order]), pa.array(order), pa.array([lo[c] for c in order]), pa.array([docs[c] for c in order], pa.list_(pa.int32()))]
+    batch = pa.RecordBatch.from_arrays(columns, names=["other", "c", "lo", "codes"])
+    got = {x[0]: x[1:] for cut in ([0, 12], [0, 5, 9, 12]) for out in chroma._aligned(batch.slice(a, b - a) for a, b in zip(cut, cut[1:])) for x in zip(*out.to_pydict().values())}
+    assert got == expected and len(got) > 4
+    assert not list(chroma._aligned([batch.slice(8)]))  # an empty block
