@@ -30,27 +30,37 @@ SHARD_TOKENS = 4_000_000
 #: Terms in at least one of so many of a shard's documents have a dense row of weights.
 DENSE = 16
 K1, B = 1.2, 0.75
+#: Rows of weights that are added as they are stored, in 32 bits; their sums are added in 64.
+ADDED = 32
+#: Neighbours that are put in order at once; a window rarely takes more.
+NEAREST = 64
 #: Hashes in a document's lexical key, the first of which counts most.
 KEYS = 3
 
 
+def distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A document's terms in order, and how often each is in it."""
+    ids = np.sort(ids, kind="stable")  # of 16 bits: by radix
+    bounds = np.concatenate([[-1], np.flatnonzero(ids[1:] != ids[:-1]), [len(ids) - 1]])
+    return ids[bounds[1:]], bounds[1:] - bounds[:-1]
+
+
 def _tokenized(path: str, end: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each text's ids with `end` behind them, as bytes; and, in a row without a text, how many texts hold each id, as pairs."""
     words = word_ids(path)
     last, width = np.array([end], words.kind).tobytes(), words.kind.itemsize
     seen = np.zeros(words.library.get_vocab_size() + 1, np.int64)
-    ranks = lexical_ranks(len(seen))
+    ranks = np.ascontiguousarray(lexical_ranks(len(seen)).T.astype(np.int32))
     kind = None
     for batch in batches:
         kind = batch.schema.field(0).type
         for at in range(0, batch.num_rows, 1024):
             part = batch.slice(at, 1024)
             ids = [x + last for x in words.encode([t.as_py() or b"" for t in part.column(1)])]
-            keys = np.empty((KEYS, len(ids)), np.int64)
-            for k, x in enumerate(ids):
-                terms = np.unique(np.frombuffer(x, words.kind))
-                seen[terms] += 1
-                keys[:, k] = ranks[:, terms].min(axis=1)
+            terms = [distinct(np.frombuffer(x, words.kind))[0] for x in ids]
+            flat, ends = np.concatenate(terms), np.cumsum([len(t) for t in terms])
+            seen += np.bincount(flat, minlength=len(seen))
+            keys = np.minimum.reduceat(ranks[flat], np.append(0, ends[:-1]), axis=0).T.astype(np.int64)
             n = pa.array([len(x) // width for x in ids], pa.int64())
             yield pa.RecordBatch.from_arrays([part.column(0), n, pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.list_(pa.int64())), part.column(2), *map(pa.array, keys)], names=["k", "n", "ids", "seen", "extra", *(f"l{j}" for j in range(KEYS))])
     if kind is not None:
@@ -76,7 +86,7 @@ class _Index:
     """A shard's postings: for each term its documents and their BM25 weights."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
-        terms, counts = zip(*(np.unique(d, return_counts=True) for d in docs), strict=True)
+        terms, counts = zip(*map(distinct, docs), strict=True)
         sizes = np.array([len(t) for t in terms])
         owner = np.repeat(np.arange(len(docs), dtype=np.int32), sizes)
         flat, tf = np.concatenate(terms), np.concatenate(counts).astype(np.float32)
@@ -94,18 +104,37 @@ class _Index:
         for k, t in enumerate(common):
             a, b = self.bounds[t], self.bounds[t + 1]
             self.dense[k, self.owner[a:b]] = self.weight[a:b]
-
-    def ranked(self, seed: int, used: np.ndarray) -> np.ndarray:
-        """Unused documents that share a term with the seed, by falling BM25 score over all its terms and then place."""
+        self.live = np.arange(self.n)  # the documents of the dense rows' columns; all unused ones are among them
+
+    def scores(self, seed: int, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Unused documents that share a term with the seed, by place, and their BM25 scores over all its terms."""
+        unused = ~used[self.live]
+        if 4 * np.count_nonzero(unused) <= 3 * len(unused):
+            self.live, self.dense = self.live[unused], np.compress(unused, self.dense, axis=1)
+            unused = unused[unused]
         terms = self.terms[seed]
         rows = self.row[terms]
-        score = self.dense[rows[rows >= 0]].sum(axis=0, dtype=np.float64)
-        spans = [slice(self.bounds[t], self.bounds[t + 1]) for t in terms[rows < 0]]
+        dense = rows[rows >= 0]
+        score = np.zeros(len(self.live))
+        for at in range(0, len(dense), ADDED):
+            score += self.dense.take(dense[at : at + ADDED], axis=0).sum(axis=0)
+        spans = [slice(self.bounds[t], self.bounds[t + 1]) for t in terms[rows < 0].tolist()]
         if spans:
-            score += np.bincount(np.concatenate([self.owner[x] for x in spans]), np.concatenate([self.weight[x] for x in spans]), self.n)
-        score[used] = 0
-        found = np.flatnonzero(score)
-        return found[np.argsort(-score[found], kind="stable")]
+            score += np.bincount(np.concatenate([self.owner[x] for x in spans]), np.concatenate([self.weight[x] for x in spans]), self.n)[self.live]
+        found = np.flatnonzero(unused & (score > 0))
+        return self.live[found], score[found]
+
+    def ranked(self, seed: int, used: np.ndarray) -> np.ndarray:
+        """Unused documents that share a term with the seed, by falling score and then place."""
+        found, score = self.scores(seed, used)
+        return found[np.argsort(-score, kind="stable")]
+
+    def neighbours(self, seed: int, used: np.ndarray) -> Iterator[int]:
+        """The same, one by one: the first are put in order by themselves, the rest when it is asked for."""
+        found, score = self.scores(seed, used)
+        least = np.partition(score, -NEAREST)[-NEAREST] if len(score) > NEAREST else 0
+        for part in (score >= least, score < least):
+            yield from found[part][np.argsort(-score[part], kind="stable")].tolist()
 
 
 def windows(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int = WINDOW) -> Iterator[list[tuple[int, int, int]]]:
@@ -117,7 +146,7 @@ def windows(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int =
         queue: Iterator[int] | None = None
         while room:
             if seed < 0:
-                seed = next((int(d) for d in queue if not used[d]), -1) if queue is not None else -1
+                seed = next((d for d in queue if not used[d]), -1) if queue is not None else -1
                 if seed < 0:
                     while first < len(docs) and used[first]:
                         first += 1
@@ -129,7 +158,7 @@ def windows(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int =
             pieces.append((seed, at, take))
             room, at = room - take, at + take
             if queue is None and room:
-                queue = iter(index.ranked(seed, used).tolist())
+                queue = index.neighbours(seed, used)
             if at == len(docs[seed]):
                 seed = -1
         if room:
